@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from terravane.operators.spikes import implausible_waypoints
+from terravane.operators.wall_clock import instants
 from terravane.session import read
 
 
@@ -12,6 +13,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return implausible_waypoints(read(spark, sf_dir, "waypoints")).select("survey_id", "frame_id", "field_name")
 
 
-QUERIES = {"p3_found": p3_found}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return instants(
+        read(spark, sf_dir, "clock_marks"),
+        read(spark, sf_dir, "rtk_summary"),
+        read(spark, sf_dir, "waypoints"),
+        mark="mark_id",
+        source="survey_id",
+        event="frame_id",
+        text="wall_text",
+        clock="clock",
+        offset="clock_offset_s",
+        time="time_s",
+    )
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found}
 
 ORACLE: dict[str, str] = {}
