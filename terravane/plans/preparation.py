@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terravane.operators.schema_drift import consistent_readings, migration_steps
 from terravane.operators.spikes import implausible_waypoints
 from terravane.operators.wall_clock import instants
 from terravane.session import read
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return migration_steps(read(spark, sf_dir, "raw_logs")).select("file_id", "field_name", "change")
+
+
+def p2_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consistent_readings(read(spark, sf_dir, "raw_logs"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return implausible_waypoints(read(spark, sf_dir, "waypoints")).select("survey_id", "frame_id", "field_name")
 
@@ -28,6 +37,6 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found}
+QUERIES = {"p2_found": p2_found, "p2_readings": p2_readings, "p3_found": p3_found, "p4_found": p4_found}
 
 ORACLE: dict[str, str] = {}
