@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terravane.operators.regular_grid import regular_series
 from terravane.operators.schema_drift import consistent_readings, migration_steps
 from terravane.operators.spikes import implausible_waypoints
 from terravane.operators.wall_clock import instants
@@ -37,6 +38,25 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found, "p2_readings": p2_readings, "p3_found": p3_found, "p4_found": p4_found}
+def _height_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    needed = ["relative_altitude_m", "latitude", "longitude"]
+    return regular_series(read(spark, sf_dir, "waypoints"), "survey_id", "time_s", ["relative_altitude_m", "latitude"], needed, "frame_id", step=2.0)
 
-ORACLE: dict[str, str] = {}
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _height_series(spark, sf_dir).where("filled").select("survey_id", "slot_no")
+
+
+def p6_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _height_series(spark, sf_dir)
+
+
+QUERIES = {"p2_found": p2_found, "p2_readings": p2_readings, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_series": p6_series}
+
+ORACLE: dict[str, str] = {
+    "p6_found": """
+        WITH s AS (SELECT DISTINCT survey_id, CAST(floor(time_s / 2) AS BIGINT) AS k FROM waypoints
+                   WHERE time_s IS NOT NULL AND relative_altitude_m IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL),
+        g AS (SELECT survey_id, k, lead(k) OVER (PARTITION BY survey_id ORDER BY k) AS nxt FROM s)
+        SELECT survey_id, CAST(unnest(range(k + 1, nxt)) AS BIGINT) AS slot_no FROM g WHERE nxt > k + 1""",
+}
