@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terravane.llm.leakage import leaked
 from terravane.llm.nearest_time import nearest_in_time
 from terravane.llm.runs import collapse_runs
 from terravane.session import read
@@ -20,11 +21,16 @@ HOVER = {"latitude": 0.00000125, "longitude": 0.00000125, "relative_altitude_m":
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = collapse_runs(read(spark, sf_dir, "waypoints"), "survey_id", "time_s", "frame_id", HOVER)
-    return runs.where("n_events >= 2").selectExpr("survey_id", "first_event AS first_frame_id", "last_event AS last_frame_id")
+    runs = collapse_runs(read(spark, sf_dir, "waypoints"), "survey_id", "time_s", "frame_id", HOVER, min_events=2)
+    return runs.selectExpr("survey_id", "first_event AS first_frame_id", "last_event AS last_frame_id")
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"), "doc_id", "item_id", style="nb_style")
+    return found.select("doc_id", "item_id")
+
+
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p8_found": p8_found}
 
 ORACLE = {
     "p1_found": """
