@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from terravane.llm.leakage import leaked
 from terravane.llm.nearest_time import nearest_in_time
 from terravane.llm.runs import collapse_runs
+from terravane.llm.spam import score, spam_pages
 from terravane.session import read
 
 
@@ -30,7 +31,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p8_found": p8_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_pages(read(spark, sf_dir, "documents"), "doc_id", style="nb_style")
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = score(read(spark, sf_dir, "documents"), "doc_id", style="nb_style")
+    return scores.selectExpr("doc_id", "abnormal", "round(share, 6) AS share", "round(bits, 4) AS bits")
+
+
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p8_found": p8_found, "p9_found": p9_found, "p9_scores": p9_scores}
 
 ORACLE = {
     "p1_found": """
