@@ -8,6 +8,7 @@ from terravane.llm.leakage import leaked
 from terravane.llm.nearest_time import nearest_in_time
 from terravane.llm.runs import collapse_runs
 from terravane.llm.spam import score, spam_pages
+from terravane.llm.tokenizer import encode_corpus
 from terravane.session import read
 
 
@@ -26,6 +27,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.selectExpr("survey_id", "first_event AS first_frame_id", "last_event AS last_frame_id")
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(read(spark, sf_dir, "documents"), "doc_id")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"), "doc_id", "item_id", style="nb_style")
     return found.select("doc_id", "item_id")
@@ -40,7 +45,7 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.selectExpr("doc_id", "abnormal", "round(share, 6) AS share", "round(bits, 4) AS bits")
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p8_found": p8_found, "p9_found": p9_found, "p9_scores": p9_scores}
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_scores": p9_scores}
 
 ORACLE = {
     "p1_found": """
