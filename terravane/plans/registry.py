@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from terravane.plans import preparation
+from terravane.plans import preparation, telemetry
 
-MODULES = [preparation]
+MODULES = [preparation, telemetry]
 
 
 def queries() -> dict[str, Callable]:
