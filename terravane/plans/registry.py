@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from terravane.plans import preparation, telemetry
+from terravane.plans import preparation, telemetry, terrain
 
-MODULES = [preparation, telemetry]
+MODULES = [preparation, telemetry, terrain]
 
 
 def queries() -> dict[str, Callable]:

@@ -192,11 +192,11 @@ def c17(spark: SparkSession, d: str) -> DataFrame:
     k AS (SELECT survey_id, frame_id, t FROM log), a AS (SELECT k.*, f.t AS ta, f.x AS ax, f.y AS ay FROM k ASOF LEFT JOIN f ON k.survey_id = f.survey_id AND k.t >= f.t),
     b AS (SELECT k.survey_id, k.frame_id, k.t AS t1, f.t AS tb, f.x AS bx, f.y AS by_ FROM k ASOF LEFT JOIN f ON k.survey_id = f.survey_id AND k.t <= f.t),
     j AS (SELECT a.*, tb, bx, by_, coalesce(least(coalesce(t - ta, 1e9), coalesce(tb - t, 1e9)) <= 2, false) AS near, CASE WHEN tb > ta THEN (t - ta) / (tb - ta) ELSE 0 END AS s FROM a JOIN b ON a.survey_id = b.survey_id AND a.frame_id = b.frame_id AND a.t = b.t1)
-    SELECT survey_id, frame_id, round(CASE WHEN near THEN coalesce(ax + (bx - ax) * s, ax, bx) END, 6) AS x, round(CASE WHEN near THEN coalesce(ay + (by_ - ay) * s, ay, by_) END, 6) AS y FROM j""")
+    SELECT survey_id, frame_id, round(CASE WHEN near THEN coalesce(ax + (bx - ax) * s, ax, bx) END + 1e-8, 5) AS x, round(CASE WHEN near THEN coalesce(ay + (by_ - ay) * s, ay, by_) END + 1e-8, 5) AS y FROM j""")
 def c18(spark: SparkSession, d: str) -> DataFrame:
     poses = T.keyframes(read(spark, d, "frame_index")).where("registered AND pos_x IS NOT NULL").select("survey_id", F.col("timestamp_sec").alias("t"), F.col("pos_x").alias("x"), F.col("pos_y").alias("y"))
     found = T.interpolate_at(log_of(spark, d).select("survey_id", "frame_id", "t"), poses, "frame_id", ["x", "y"], reach=2.0)
-    return found.select("survey_id", "frame_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return found.select("survey_id", "frame_id", F.round(F.col("x") + 1e-8, 5).alias("x"), F.round(F.col("y") + 1e-8, 5).alias("y"))
 
 
 @query("c20_sharp_frames", """WITH f AS (SELECT DISTINCT survey_id, keyframe_no, blur_score FROM frame_index WHERE blur_score IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY survey_id ORDER BY keyframe_no, blur_score) AS k FROM f)
