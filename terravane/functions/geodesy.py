@@ -6,6 +6,7 @@ Everything here is arithmetic on columns, so it stays inside generated code; nul
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,6 +44,11 @@ def series(table: list[list[float]]) -> list[float]:
     return [sum(c * N ** (k + 1) for k, c in enumerate(row)) for row in table]
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance in metres."""
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
@@ -64,20 +70,18 @@ def to_ecef(lat: Column, lon: Column, h: Column) -> tuple[Column, Column, Column
     return (n + h) * F.cos(p) * F.cos(q), (n + h) * F.cos(p) * F.sin(q), (n * (1 - E2) + h) * F.sin(p)
 
 
-def from_ecef(x: Column, y: Column, z: Column, rounds: int = 5) -> tuple[Column, Column, Column]:
+def from_ecef(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
     """Latitude, longitude in degrees and height in metres.
 
-    Parametric-latitude iteration: each round is one expression of the last one, so a handful suffices.
+    One step from the parametric latitude, which is exact to far below a millimetre for heights within
+    ten kilometres of the ellipsoid; further steps would only repeat the expression.
     """
     p = F.hypot(x, y)
-    beta = F.atan2(z, (1 - FLAT) * p)
     second, minor = E2 / (1 - E2), A * (1 - FLAT)
-    phi = None
-    for _ in range(rounds):
-        phi = F.atan2(z + second * minor * F.pow(F.sin(beta), 3), p - E2 * A * F.pow(F.cos(beta), 3))
-        beta = F.atan2((1 - FLAT) * F.sin(phi), F.cos(phi))
-    h = p * F.cos(phi) + z * F.sin(phi) - A * F.sqrt(1 - E2 * F.pow(F.sin(phi), 2))
-    return F.degrees(phi), F.degrees(F.atan2(y, x)), h
+    beta = F.atan2(z, (1 - FLAT) * p)
+    phi = F.atan2(z + second * minor * F.pow(F.sin(beta), 3), p - E2 * A * F.pow(F.cos(beta), 3))
+    s = let(phi, lambda f: F.struct(f.alias("f"), (p * F.cos(f) + z * F.sin(f) - A * F.sqrt(1 - E2 * F.pow(F.sin(f), 2))).alias("h")))
+    return F.degrees(s["f"]), F.degrees(F.atan2(y, x)), s["h"]
 
 
 def ecef_point(lat: float, lon: float, h: float) -> tuple[float, float, float]:
@@ -165,19 +169,21 @@ def utm_forward(lat: Column, lon: Column, zone: Column) -> tuple[Column, Column]
 
 
 def utm_inverse(easting: Column, northing: Column, zone: Column, north: Column) -> tuple[Column, Column]:
-    """Latitude and longitude in degrees; the conformal latitude is undone by Newton steps."""
+    """Latitude and longitude in degrees; the conformal latitude is undone by fixed-point steps."""
     xi = (northing - F.when(north, 0.0).otherwise(10000000.0)) / (K0 * RADIUS)
     eta = (easting - 500000.0) / (K0 * RADIUS)
     xi0, eta0 = xi, eta
     for j, b in enumerate(series(INVERSE_SERIES), 1):
         xi0 = xi0 - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         eta0 = eta0 - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi_sin = F.sin(xi0) / F.cosh(eta0)
-    goal = F.atanh(chi_sin)
-    phi_sin = chi_sin
-    for _ in range(5):
-        phi_sin = F.tanh(goal + ECC * F.atanh(ECC * phi_sin))
-    return F.degrees(F.asin(phi_sin)), F.degrees(F.atan2(F.sinh(eta0), F.cos(xi0))) + (zone - 1) * 6.0 - 177.0
+
+    def undone(goal: Column) -> Column:
+        phi_sin = F.tanh(goal)
+        for _ in range(5):
+            phi_sin = F.tanh(goal + ECC * F.atanh(ECC * phi_sin))
+        return F.asin(phi_sin)
+
+    return F.degrees(let(F.atanh(F.sin(xi0) / F.cosh(eta0)), undone)), F.degrees(F.atan2(F.sinh(eta0), F.cos(xi0))) + (zone - 1) * 6.0 - 177.0
 
 
 def quaternion_matrix(x: Column, y: Column, z: Column, w: Column) -> list[list[Column]]:

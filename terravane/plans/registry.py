@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from terravane.plans import preparation, telemetry, terrain
+from terravane.plans import geodesy, preparation, rasters, telemetry, terrain
 
-MODULES = [preparation, telemetry, terrain]
+MODULES = [preparation, telemetry, terrain, rasters, geodesy]
 
 
 def queries() -> dict[str, Callable]:

@@ -100,7 +100,7 @@ def e10(spark: SparkSession, d: str) -> DataFrame:
 @query("e11_progressive_opening")
 def e11(spark: SparkSession, d: str) -> DataFrame:
     """Cells that are objects above the opened minimum surface."""
-    return G.object_cells(raster(spark, d), "zlo", RES).where("object").select(*G.CELL)
+    return G.object_cells(raster(spark, d), "zmed", RES).where("object").select(*G.CELL)
 
 
 @query("f06_grey_opening", f"""WITH {dense_sql(RES)}, e AS MATERIALIZED (SELECT c.survey_id, c.i, c.j, {square_sql('min(o.zlo)', 2)} AS m FROM grid c)
