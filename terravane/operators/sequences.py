@@ -44,19 +44,20 @@ def with_context(
     summaries += [F.sum(f"__r_{n}").alias(f"__s_{n}") for n in running]
     before = Window.partitionBy(*entity).orderBy(BLOCK)
     behind = before.rowsBetween(Window.unboundedPreceding, -1)
-    ahead = before.rowsBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*entity).orderBy(F.col(BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = base.groupBy(*entity, BLOCK).agg(*summaries).select(
         *entity,
         BLOCK,
         *[F.lag(f"__p_{n}").over(before).alias(f"__p_{n}") for n in previous],
         *[F.lead(f"__f_{n}").over(before).alias(f"__f_{n}") for n in following],
         *[F.last(f"__l_{n}", ignorenulls=True).over(behind).alias(f"__l_{n}") for n in last],
-        *[F.first(f"__u_{n}", ignorenulls=True).over(ahead).alias(f"__u_{n}") for n in upcoming],
+        *[F.last(f"__u_{n}", ignorenulls=True).over(ahead).alias(f"__u_{n}") for n in upcoming],
         *[F.coalesce(F.sum(f"__s_{n}").over(behind), F.lit(0)).alias(f"__s_{n}") for n in running],
     )
     inside = Window.partitionBy(*entity, BLOCK).orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    to_come = inside.rowsBetween(0, Window.unboundedFollowing)
+    # what lies ahead is behind in the reverse order: a frame to the end would be built anew for each row
+    reverse = Window.partitionBy(*entity, BLOCK).orderBy(*[F.col(c).desc_nulls_last() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
     first, final = F.row_number().over(inside) == 1, F.lead(F.lit(1)).over(inside).isNull()
     joined = base.join(carried, [*entity, BLOCK])
     added: dict[str, Column] = {}
@@ -67,7 +68,7 @@ def with_context(
     for n, c in last.items():
         added[n] = F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.col(f"__l_{n}"))
     for n, c in upcoming.items():
-        added[n] = F.coalesce(F.first(c, ignorenulls=True).over(to_come), F.col(f"__u_{n}"))
+        added[n] = F.coalesce(F.last(c, ignorenulls=True).over(reverse), F.col(f"__u_{n}"))
     for n in running:
         added[n] = F.sum(f"__r_{n}").over(so_far) + F.col(f"__s_{n}")
     return joined.select(*df.columns, *[c.alias(n) for n, c in added.items()])
