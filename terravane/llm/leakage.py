@@ -28,7 +28,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm.words import is_json, words
+from terravane.llm.words import is_json, over_all_cores, words
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -122,6 +122,7 @@ def leaked(corpus: DataFrame, held_out: DataFrame, doc: str, item: str, text: st
     blocks = max(1, -(-int(total) // block_words))
     style_column = F.col(style) if style else F.lit(None).cast("string")
     rows = corpus.where(F.col(doc).isNotNull() & (F.length(text) > 0)).select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"), style_column.alias("style"))
+    rows = over_all_cores(rows)
     out = None
     for n in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == n).collect()

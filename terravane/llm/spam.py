@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravane.llm.notebooks import blocks
+from terravane.llm.words import over_all_cores
 
 #: Function words of English, Spanish, German and French.
 FUNCTION_WORDS = """
@@ -303,6 +304,7 @@ def score(pages: DataFrame, doc: str, text: str = "text", style: str | None = No
     """(doc, abnormal, share, bits) for each page with text: share of abnormal text, bits a token of it all."""
     style_column = F.col(style) if style else F.lit(None).cast("string")
     rows = pages.where(F.col(doc).isNotNull() & (F.length(text) > 0)).select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"), style_column.alias("style"))
+    rows = over_all_cores(rows)
     model = pages.sparkSession.sparkContext.broadcast(train(rows, order))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terravane.llm.words import over_all_cores
+
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 NEVER = np.int64(1 << 40)
 STEP, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -452,7 +454,7 @@ SLICE = 400_000
 def encode_corpus(corpus: DataFrame, doc: str, text: str = "text", ranks: str = DEFAULT_RANKS) -> DataFrame:
     """(doc, ids) for each row of the corpus; ``ranks`` is the path of the vocabulary on the driver."""
     vocabulary = corpus.sparkSession.sparkContext.broadcast(read_ranks(ranks))
-    rows = corpus.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    rows = over_all_cores(corpus.select(F.col(doc).alias("doc"), F.col(text).alias("text")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(_vocabulary(vocabulary))

@@ -4,6 +4,18 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import DataFrame
+
+def over_all_cores(rows: DataFrame) -> DataFrame:
+    """The rows over as many partitions as there are cores, where the files give fewer.
+
+    Large inputs come in more splits than that and are left alone; only a small file, whose one row group
+    a single task would read, is exchanged before the costly work on texts.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 WORD = re.compile(r"[^\W_]+")
 UNICODE = re.compile(r"\\u([0-9a-fA-F]{4})")
 
