@@ -53,9 +53,9 @@ def c01(spark: SparkSession, d: str) -> DataFrame:
           first_value(CASE WHEN rel IS NOT NULL THEN k END IGNORE NULLS) OVER b AS kb, first_value(rel IGNORE NULLS) OVER b AS vb FROM k
           WINDOW a AS (PARTITION BY survey_id ORDER BY t, frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
                  b AS (PARTITION BY survey_id ORDER BY t, frame_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-    SELECT survey_id, frame_id, round(CASE WHEN rel IS NOT NULL THEN rel WHEN ka IS NULL THEN vb WHEN kb IS NULL THEN va ELSE va + (vb - va) * (k - ka) / (kb - ka) END, 5) AS height_m FROM s""")
+    SELECT survey_id, frame_id, round(CASE WHEN rel IS NOT NULL THEN rel WHEN ka IS NULL THEN vb WHEN kb IS NULL THEN va ELSE va + (vb - va) * (k - ka) / (kb - ka) END + 1e-8, 5) AS height_m FROM s""")
 def c02(spark: SparkSession, d: str) -> DataFrame:
-    return T.fill_by_index(log_of(spark, d), "rel", "h").select("survey_id", "frame_id", F.round("h", 5).alias("height_m"))
+    return T.fill_by_index(log_of(spark, d), "rel", "h").select("survey_id", "frame_id", F.round(F.col("h") + 1e-8, 5).alias("height_m"))
 
 
 @query("c03_altitude_reference", f"""WITH {LOG}, r AS (SELECT survey_id, count(*) AS n, count(abs_m) AS n_abs, count(CASE WHEN abs_m IS NULL THEN rel END) AS n_rel FROM log GROUP BY survey_id)
@@ -82,14 +82,14 @@ ASOF = f"""WITH {LOG}, {FRESH}, f AS (SELECT survey_id, t, min(lat) AS lat, min(
     b AS (SELECT k.survey_id, k.keyframe_no, f.t AS tb, f.lat AS blat, f.lon AS blon FROM k ASOF LEFT JOIN f ON k.survey_id = f.survey_id AND k.t <= f.t)"""
 
 
-@query("c06_frame_positions", f"""{ASOF} SELECT survey_id, keyframe_no, round(coalesce(alat + (blat - alat) * CASE WHEN tb > ta THEN (t - ta) / (tb - ta) ELSE 0 END, alat, blat), 7) AS lat,
-    round(coalesce(alon + (blon - alon) * CASE WHEN tb > ta THEN (t - ta) / (tb - ta) ELSE 0 END, alon, blon), 7) AS lon,
+@query("c06_frame_positions", f"""{ASOF} SELECT survey_id, keyframe_no, round(coalesce(alat + (blat - alat) * CASE WHEN tb > ta THEN (t - ta) / (tb - ta) ELSE 0 END, alat, blat) + 1e-9, 7) AS lat,
+    round(coalesce(alon + (blon - alon) * CASE WHEN tb > ta THEN (t - ta) / (tb - ta) ELSE 0 END, alon, blon) + 1e-9, 7) AS lon,
     coalesce(t - ta, 0) <= 0.5 OR coalesce(tb - t, 0) <= 0.5 AS near FROM a JOIN b USING (survey_id, keyframe_no)""")
 def c06(spark: SparkSession, d: str) -> DataFrame:
     frames = T.keyframes(read(spark, d, "frame_index")).select("survey_id", "keyframe_no", F.col("timestamp_sec").alias("t")).distinct()
     found = T.interpolate_at(frames, T.fresh_fixes(log_of(spark, d), ["lat", "lon"]), "keyframe_no", ["lat", "lon"])
     near = (F.coalesce("gap_before", F.lit(0.0)) <= 0.5) | (F.coalesce("gap_after", F.lit(0.0)) <= 0.5)
-    return found.select("survey_id", "keyframe_no", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), near.alias("near"))
+    return found.select("survey_id", "keyframe_no", F.round(F.col("lat") + 1e-9, 7).alias("lat"), F.round(F.col("lon") + 1e-9, 7).alias("lon"), near.alias("near"))
 
 
 @query("c07_path_length", f"""WITH {LOG}, {FRESH}, l AS (SELECT survey_id, {hav('lat0', 'lon0', 'lat', 'lon')} AS leg FROM fresh)
