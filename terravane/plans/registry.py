@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from terravane.plans import geodesy, preparation, rasters, telemetry, terrain
+from terravane.plans import geodesy, preparation, rasters, sources, telemetry, terrain
 
-MODULES = [preparation, telemetry, terrain, rasters, geodesy]
+MODULES = [preparation, telemetry, terrain, rasters, geodesy, sources]
 
 
 def queries() -> dict[str, Callable]:
