@@ -51,12 +51,16 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = stream.schema
 
+    written = []
+
     def keep(batch: DataFrame, number: int) -> None:
         # a batch that runs again after a failure writes to its own folder again
         name = "all" if mode == "complete" else f"batch={number}"
         batch.write.mode("overwrite").parquet(f"{place}/out/{name}")
+        written.append(name)
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    found = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{place}/out")
-    return found
+    if not written:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{place}/out")
