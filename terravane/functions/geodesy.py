@@ -168,6 +168,17 @@ def utm_forward(lat: Column, lon: Column, zone: Column) -> tuple[Column, Column]
     return 500000.0 + K0 * RADIUS * eta, K0 * RADIUS * xi + F.when(lat >= 0, 0.0).otherwise(10000000.0)
 
 
+def utm_point(lat: float, lon: float, zone: int) -> tuple[float, float]:
+    """``utm_forward`` of a literal place."""
+    s, lam = math.sin(math.radians(lat)), math.radians(lon - ((zone - 1) * 6 - 177))
+    t = math.sinh(math.atanh(s) - ECC * math.atanh(ECC * s))
+    xi0, eta0 = math.atan2(t, math.cos(lam)), math.atanh(math.sin(lam) / math.hypot(1, t))
+    terms = list(enumerate(series(FORWARD_SERIES), 1))
+    xi = xi0 + sum(a * math.sin(2 * j * xi0) * math.cosh(2 * j * eta0) for j, a in terms)
+    eta = eta0 + sum(a * math.cos(2 * j * xi0) * math.sinh(2 * j * eta0) for j, a in terms)
+    return 500000.0 + K0 * RADIUS * eta, K0 * RADIUS * xi + (0.0 if lat >= 0 else 10000000.0)
+
+
 def utm_inverse(easting: Column, northing: Column, zone: Column, north: Column) -> tuple[Column, Column]:
     """Latitude and longitude in degrees; the conformal latitude is undone by fixed-point steps."""
     xi = (northing - F.when(north, 0.0).otherwise(10000000.0)) / (K0 * RADIUS)

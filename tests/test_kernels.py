@@ -126,8 +126,12 @@ def test_geodesy(spark):
     out = df.select((back[0] - a).alias("x"), (back[1] - o).alias("y"), (back[2] - h).alias("z"), (inverse[0] - a).alias("u"), (inverse[1] - o).alias("v")).toPandas()
     assert out[["x", "y", "u", "v"]].abs().max().max() < 1e-9 and out["z"].abs().max() < 1e-4
     one = spark.range(1).select(*[F.round(c, 2) for c in D.utm_forward(F.lit(45.31), F.lit(29.29), F.lit(35))]).first()
-    # independent values by the transverse Mercator power series
-    assert abs(one[0] - 679510) < 400 and abs(one[1] - 5019900) < 600
+    plain = D.utm_point(45.31, 29.29, 35)
+    assert abs(one[0] - plain[0]) < 0.01 and abs(one[1] - plain[1]) < 0.01
+    # along the central meridian the northing is the meridian arc times the scale factor
+    steps = np.radians(np.linspace(0, 45, 200_001))
+    arc = np.trapezoid(D.A * (1 - D.E2) / (1 - D.E2 * np.sin(steps) ** 2) ** 1.5, steps)
+    assert abs(D.utm_point(45.0, 27.0, 35)[1] - D.K0 * arc) < 1e-3 and D.utm_point(45.0, 27.0, 35)[0] == 500000.0
 
 
 def test_moment_fit(spark):
