@@ -109,9 +109,9 @@ def f06(spark: SparkSession, d: str) -> DataFrame:
     return rounded(G.opening(raster(spark, d), "zlo", 2, "opened"), G.CELL, "opened")
 
 
-@query("f04_box_mean", f"WITH {dense_sql(RES)} SELECT c.survey_id, c.i, c.j, round({square_sql('avg(o.zmed)', 2)}, 6) AS mean FROM grid c")
+@query("f04_box_mean", f"WITH {dense_sql(RES)} SELECT c.survey_id, c.i, c.j, round({square_sql('avg(o.zmed)', 2)} + 1e-8, 5) AS mean FROM grid c")
 def f04(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(G.box_mean(raster(spark, d), "zmed", 2, "mean"), G.CELL, "mean")
+    return rounded(G.box_mean(raster(spark, d), "zmed", 2, "mean"), G.CELL, "mean", digits=5, nudge=1e-8)
 
 
 @query("f04_max_min_range", f"WITH {dense_sql(RES)} SELECT c.survey_id, c.i, c.j, round({square_sql('max(o.zhi) - min(o.zhi)', 1)}, 6) AS step FROM grid c")
