@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from terravane.plans import geodesy, preparation, rasters, sources, surveys, telemetry, terrain
+from terravane.plans import catalog, geodesy, preparation, rasters, sources, surveys, telemetry, terrain
 
-MODULES = [preparation, telemetry, terrain, rasters, geodesy, sources, surveys]
+MODULES = [preparation, telemetry, terrain, rasters, geodesy, sources, surveys, catalog]
 
 
 def queries() -> dict[str, Callable]:
