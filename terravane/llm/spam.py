@@ -7,7 +7,9 @@ whole corpus: one of prose, from the blocks that consist of sentences (their sha
 or of hiragana, says so) and one of everything else that stands beside prose, that is code, outputs,
 headings and lists. Both are counted only on pages of which a part is prose, so pages that are nothing
 but keywords teach nothing. A block is abnormal where its perplexity is high under both models, or
-where it is low under the prose model because the same few words repeat without end. A page is
+where it is low under the prose model because the same few words repeat without end. Blocks with the
+share of function words of sentences need a higher one, so that sentences of an unusual kind, such as a
+quoted exercise, stay sentences. A page is
 reported where more than half of its text stands in abnormal blocks.
 
 Embedded data (base64) is no text: it counts in no block. The models' tables are bounded by the number
@@ -300,7 +302,7 @@ def train(pages: DataFrame, order: int) -> np.ndarray:
     return np.stack(tables)
 
 
-def score(pages: DataFrame, doc: str, text: str = "text", style: str | None = None, order: int = 4, high: float = 3.2, low: float = 0.25, least: int = 12) -> DataFrame:
+def score(pages: DataFrame, doc: str, text: str = "text", style: str | None = None, order: int = 4, high: float = 3.2, high_sentences: float = 5.0, low: float = 0.25, least: int = 12) -> DataFrame:
     """(doc, abnormal, share, bits) for each page with text: share of abnormal text, bits a token of it all."""
     style_column = F.col(style) if style else F.lit(None).cast("string")
     rows = pages.where(F.col(doc).isNotNull() & (F.length(text) > 0)).select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"), style_column.alias("style"))
@@ -317,7 +319,7 @@ def score(pages: DataFrame, doc: str, text: str = "text", style: str | None = No
             tokens = np.maximum(p.tokens, 1)
             prose, other = (np.bincount(p.owner, weights=t[p.codes], minlength=len(p.size)) / tokens for t in tables)
             best = np.minimum(prose, other)
-            odd = ((best > high) | (prose < low)) & (p.tokens > 0)
+            odd = ((best > np.where(p.prose(), high_sentences, high)) | (prose < low)) & (p.tokens > 0)
             pages_of = lambda w: np.bincount(p.page, weights=w, minlength=n)
             size = pages_of(p.size)
             share = pages_of(p.size * odd) / np.maximum(size, 1)
