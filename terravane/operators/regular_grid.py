@@ -4,7 +4,9 @@ Slot k of a source covers ``step * k <= t < step * (k + 1)``. Readings are bucke
 without reading between a source's first and last one are filled and marked. Filling is iterative
 singular-spectrum imputation: the bucketed series is embedded into a Hankel trajectory matrix, the
 matrix is truncated to its leading singular vectors, averaged back over its anti-diagonals, and only
-the missing entries are replaced, until they no longer change. Start values are linear.
+the missing entries are replaced, until they no longer change. Start values are linear. There is no
+bound on the rounds: a round lowers the squared distance of the trajectory matrix to its truncation by
+at least the squared change of each missing entry, so changes above the tolerance come to an end.
 
 Work is done in blocks of slots. A block fills its own gaps and up to ``reach`` slots of the gap behind
 its last reading, whose far end is known from the next block that holds a reading. What is left of
@@ -31,8 +33,8 @@ def fill_linear(x: np.ndarray, missing: np.ndarray) -> np.ndarray:
     return np.interp(np.arange(len(x)), known, x[known]) if len(known) else np.zeros(len(x))
 
 
-def ssa_impute(x: np.ndarray, missing: np.ndarray, window: int = 24, rank: int = 4, rounds: int = 30, tolerance: float = 1e-3) -> np.ndarray:
-    """The series with missing entries replaced by iterative singular-spectrum imputation."""
+def ssa_impute(x: np.ndarray, missing: np.ndarray, window: int = 24, rank: int = 4, tolerance: float = 1e-3) -> np.ndarray:
+    """The series with missing entries replaced by iterative singular-spectrum imputation, run until it converges."""
     out = fill_linear(x, missing)
     n = len(x)
     window = min(window, n // 2)
@@ -47,8 +49,8 @@ def ssa_impute(x: np.ndarray, missing: np.ndarray, window: int = 24, rank: int =
     y = np.clip(y, *(np.median(y) + np.array([-1, 1]) * 12 * (np.median(np.abs(y - np.median(y))) + 1e-9)))
     at = np.flatnonzero(missing)
     counts = np.minimum(np.minimum(np.arange(1, n + 1), np.arange(n, 0, -1)), min(window, n - window + 1))
-    for _ in range(rounds):
-        hankel = sliding_window_view(y, window)
+    while True:
+        hankel = np.ascontiguousarray(sliding_window_view(y, window))
         _, vectors = np.linalg.eigh(hankel.T @ hankel)
         lead = vectors[:, -rank:]
         smooth = (hankel @ lead) @ lead.T
@@ -58,7 +60,7 @@ def ssa_impute(x: np.ndarray, missing: np.ndarray, window: int = 24, rank: int =
         new = (total / counts)[at]
         change = np.max(np.abs(new - y[at]))
         y[at] = new
-        if change < tolerance:
+        if not change >= tolerance:
             break
     out[at] = y[at] * spread + centre
     return out

@@ -38,3 +38,24 @@ def test_imputation_beats_the_line():
     error = lambda z: np.sqrt(np.mean((z - x)[missing] ** 2))
     assert error(ssa_impute(y, missing)) < 0.3 * error(fill_linear(y, missing))
     assert np.allclose(ssa_impute(np.ones(5), np.array([0, 1, 0, 0, 0], dtype=bool)), 1)
+
+
+def test_imputation_runs_until_it_converges():
+    rng = np.random.default_rng(5)
+    x = np.cumsum(rng.normal(size=600)) + 8 * np.sin(np.arange(600) / 9)
+    missing = np.zeros(600, dtype=bool)
+    for a, b in ((60, 150), (260, 300), (420, 560)):
+        missing[a:b] = True
+    x[missing] = 0
+    y = fill_linear(x, missing)
+    centre, spread = y.mean(), y.std()
+    y, rounds, change = (y - centre) / spread, 0, 1.0
+    at = np.arange(577)[:, None] + np.arange(24)
+    while change >= 1e-3:
+        u, s, v = np.linalg.svd(y[at], full_matrices=False)
+        low = (u[:, :4] * s[:4]) @ v[:4]
+        new = np.bincount(at.ravel(), weights=low.ravel()) / np.bincount(at.ravel())
+        change, rounds = np.abs(new - y)[missing].max(), rounds + 1
+        y[missing] = new[missing]
+    assert rounds > 60
+    assert np.allclose(ssa_impute(x, missing)[missing], (y * spread + centre)[missing], atol=1e-6)
