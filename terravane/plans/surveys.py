@@ -49,22 +49,21 @@ def c05(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c13_clock_alignment")
 def c13(spark: SparkSession, d: str) -> DataFrame:
-    """Shift between keyframe and log time with the smallest median miss, coarse then fine.
+    """Offset from the keyframes' clock to the log's at which the camera track lies best on the logged one.
 
-    Each survey's samples (every k-th keyframe, at most about 300) are a bounded set of questions against
-    the whole log; every offset is one as-of question.
+    The camera track is the registered positions (x east, z south of the survey's home), which don't come
+    from the log.
     """
-    log = log_of(spark, d).where("lat IS NOT NULL AND lon IS NOT NULL")
-    frames = T.keyframes(read(spark, d, "frame_index")).select("survey_id", "keyframe_no", F.col("timestamp_sec").alias("t")).distinct()
-    truth = T.interpolate_at(frames, log, "keyframe_no", ["lat", "lon"], reach=2.0).where("lat IS NOT NULL")
-    n = truth.groupBy("survey_id").agg(F.count("*").alias("n"))
-    sample = truth.join(n, "survey_id").where(F.col("keyframe_no") % F.greatest(F.lit(1), F.floor(F.col("n") / 100)) == 0).select("survey_id", "keyframe_no", "t", F.col("lat").alias("lat0"), F.col("lon").alias("lon0"))
-    tries = sample.withColumn("tau", F.explode(F.array(*[F.lit(x / 2) for x in range(-6, 7)])))
-    asked = tries.withColumn("key", F.col("keyframe_no") * 100 + F.col("tau") * 2 + 6).select("survey_id", F.col("key").cast("bigint").alias("key"), (F.col("t") + F.col("tau")).alias("t"), "tau", "lat0", "lon0")
-    found = T.interpolate_at(asked.select("survey_id", "key", "t"), log, "key", ["lat", "lon"], reach=2.0)
-    miss = found.where("lat IS NOT NULL").join(asked.drop("t"), ["survey_id", "key"]).withColumn("miss", haversine(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0")))
-    cost = miss.groupBy("survey_id", "tau").agg(F.percentile("miss", F.lit(0.5)).alias("cost"))
-    return cost.groupBy("survey_id").agg(F.min(F.struct("cost", F.abs("tau").alias("a"), "tau")).alias("m")).select("survey_id", F.col("m.tau").alias("offset_s"), F.round("m.cost", 4).alias("miss_m"))
+    swapped = F.col("latlon_order") == "lon_lat"
+    home = read(spark, d, "flight_data").where("home_lat IS NOT NULL AND home_lon IS NOT NULL").select("survey_id", F.when(swapped, F.col("home_lon")).otherwise(F.col("home_lat")).alias("hla"), F.when(swapped, F.col("home_lat")).otherwise(F.col("home_lon")).alias("hlo"))
+    home = home.groupBy("survey_id").agg(F.min(F.struct("hla", "hlo")).alias("h")).select("survey_id", "h.*")
+    frames = T.keyframes(read(spark, d, "frame_index")).where("registered AND pos_x IS NOT NULL AND pos_z IS NOT NULL")
+    frames = frames.select("survey_id", "keyframe_no", F.col("timestamp_sec").alias("t"), F.col("pos_x").alias("x"), F.col("pos_z").alias("z")).distinct().join(home, "survey_id")
+    east = F.col("hlo") + F.degrees(F.col("x") / (6371000.0 * F.cos(F.radians("hla"))))
+    track = frames.select("survey_id", "t", (F.col("hla") - F.degrees(F.col("z") / 6371000.0)).alias("lat"), east.alias("lon"))
+    log = log_of(spark, d).where(T.is_position(F.col("lat"), F.col("lon"))).select("survey_id", "t", "lat", "lon")
+    found = T.align_tracks(track, log)
+    return found.select("survey_id", F.round("offset_s", 4).alias("offset_s"), F.round("miss_m", 4).alias("miss_m"), "how")
 
 
 @query("c21_sensor_merge")
