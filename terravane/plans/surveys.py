@@ -19,7 +19,7 @@ from terravane.plans.fixtures import POINTS_SQL, cells_sql, points
 from terravane.plans.rasters import FAN, HIGH, REACH, high, seen
 from terravane.plans.telemetry import LOG, hav, log_of
 from terravane.plans.terrain import CAMERAS, CLASS_SQL, RES, cameras, classes, raster
-from terravane.session import read
+from terravane.session import cut_lineage, read
 
 QUERIES, ORACLE = {}, {}
 CELL = G.CELL
@@ -301,26 +301,29 @@ def i04(spark: SparkSession, d: str) -> DataFrame:
     return near.join(e, CELL, "left").select(*CELL, F.round(100 * (0.52 * away + 0.48 * hidden), 4).alias("score"))
 
 
-@query("i06_best_sites")
-def i06(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy choice of the five best sites, at least 25 m apart: a top-k report.
+def greedy_sites(scores: DataFrame, most: int = 5, apart_m: float = 25.0) -> DataFrame:
+    """The best cell of each survey, then the best at least ``apart_m`` from those chosen, and so on.
 
-    Only the best candidate of each 12.5 m block takes part, so the driver sees a list bounded by the
-    number of sites asked for: the best 200 candidates.
+    Each choice is an aggregation over all cells; the chosen ones are at most ``most`` rows a survey.
     """
-    best = i04(spark, d).groupBy("survey_id", F.floor(F.col("i") / 5).alias("bi"), F.floor(F.col("j") / 5).alias("bj")).agg(F.max(F.struct("score", -F.col("i"), -F.col("j"))).alias("m"))
-    rows = best.select("survey_id", F.col("m.score").alias("score"), (-F.col("m.col2")).alias("i"), (-F.col("m.col3")).alias("j"))
-    order = Window.partitionBy("survey_id").orderBy(F.desc("score"), "i", "j")
-    top = rows.withColumn("k", F.row_number().over(order)).where("k <= 200")
+    scores = cut_lineage(scores.select(*CELL, "score"))
+    chosen = None
+    for n in range(most):
+        left = scores
+        if chosen is not None:
+            c = chosen.select(*[F.col(x).alias(f"c_{x}") for x in CELL])
+            di, dj = F.col("i") - F.col("c_i"), F.col("j") - F.col("c_j")
+            left = scores.join(F.broadcast(c), (F.col("survey_id") == F.col("c_survey_id")) & (F.sqrt((di * di + dj * dj).cast("double")) * RES < apart_m), "left_anti")
+        best = left.groupBy("survey_id").agg(F.max(F.struct("score", (-F.col("i")).alias("i"), (-F.col("j")).alias("j"))).alias("m"))
+        best = best.select("survey_id", F.lit(f"SITE-{chr(65 + n)}").alias("site"), (-F.col("m.i")).alias("i"), (-F.col("m.j")).alias("j"), F.col("m.score").alias("score"))
+        chosen = cut_lineage(best if chosen is None else chosen.unionByName(best))
+    return chosen
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen: list = []
-        for r in pdf.sort_values("k").itertuples():
-            if len(chosen) < 5 and all(math.hypot(r.i - c.i, r.j - c.j) * RES >= 25 for c in chosen):
-                chosen.append(r)
-        return pd.DataFrame({"survey_id": [c.survey_id for c in chosen], "site": [f"SITE-{chr(65 + n)}" for n in range(len(chosen))], "i": [c.i for c in chosen], "j": [c.j for c in chosen], "score": [c.score for c in chosen]})
 
-    return top.groupBy("survey_id").applyInPandas(work, "survey_id string, site string, i bigint, j bigint, score double")
+@query("i06_best_sites")
+def i06(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy choice of the five best sites, at least 25 m apart, over all cells."""
+    return greedy_sites(i04(spark, d))
 
 
 @query("j01_location_check", f"""WITH {LOG}, c AS (SELECT survey_id, CAST(floor(lat * 1000) AS BIGINT) AS a, CAST(floor(lon * 1000) AS BIGINT) AS o FROM log WHERE abs(lat) <= 90 AND abs(lon) <= 180 GROUP BY ALL), s AS (SELECT DISTINCT survey_id, site FROM flight_data), p AS (SELECT site, survey_id, lag(survey_id) OVER (PARTITION BY site ORDER BY survey_id) AS other FROM s)
