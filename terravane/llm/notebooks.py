@@ -1,10 +1,11 @@
-"""Blocks (cells, outputs, paragraphs) of notebook texts in three styles."""
+"""Blocks (cells, outputs, paragraphs) of notebook texts in three styles, each with its kind."""
 
 from __future__ import annotations
 
 import json
 import re
 
+TEXT, CODE, OUTPUT = range(3)
 PERCENT = re.compile(r"^# ?%%", re.M)
 PROMPT = re.compile(r"\n\s*\n(?=\S)|^(?=In \[|Out\[)", re.M)
 LABEL = re.compile(r"^(?:In \[[^\]\n]*\]:|Out\[[^\]\n]*\]:|\.\.\.:) ?", re.M)
@@ -35,11 +36,11 @@ def _broken_json_blocks(text: str) -> list[str]:
     return ["".join(_literal(s) for s in STRING.findall(found)) for found in LISTS.findall(text)]
 
 
-def _json_blocks(text: str) -> list[str] | None:
+def _json_parts(text: str) -> list[tuple[int, str]] | None:
     try:
         document = json.loads(text, strict=False)
     except (ValueError, RecursionError):
-        return _broken_json_blocks(text) or None
+        return [(TEXT, b) for b in _broken_json_blocks(text)] or None
     cells = document.get("cells") if isinstance(document, dict) else None
     if not isinstance(cells, list):
         return None
@@ -47,13 +48,13 @@ def _json_blocks(text: str) -> list[str] | None:
     for cell in cells:
         if not isinstance(cell, dict):
             continue
-        out.append(_joined(cell.get("source")))
+        out.append((CODE if cell.get("cell_type") == "code" else TEXT, _joined(cell.get("source"))))
         outputs = cell.get("outputs")
         for output in outputs if isinstance(outputs, list) else []:
             if isinstance(output, dict):
                 data = output.get("data")
-                out += [_joined(output.get("text")), _joined(output.get("traceback"))]
-                out += [_joined(v) for v in data.values()] if isinstance(data, dict) else []
+                shown = [output.get("text"), output.get("traceback"), *(data.values() if isinstance(data, dict) else [])]
+                out += [(OUTPUT, _joined(v)) for v in shown]
     return out
 
 
@@ -62,19 +63,31 @@ def _uncommented(text: str) -> str:
     return ("\n" + text).replace("\n# ", "\n").replace("\n#\n", "\n\n")[1:]
 
 
-def blocks(text: str, style: str | None) -> list[str]:
-    """The text's blocks without markup of the style; of a text in no known style its paragraphs."""
+def parts(text: str, style: str | None) -> list[tuple[int, str]]:
+    """(kind, block) without markup of the style; of a text in no known style its paragraphs.
+
+    The kind is CODE or OUTPUT where the style says so of the block, else TEXT.
+    """
     text = text.replace("\r\n", "\n")
     if style == "json" or (style is None and text.lstrip()[:1] == "{"):
-        if (found := _json_blocks(text)) is not None:
-            return [b for b in found if b]
+        if (found := _json_parts(text)) is not None:
+            return [part for part in found if part[1]]
         text = text.replace("\\n", "\n")
+    out = []
     if style == "percent" or (style is None and PERCENT.search(text)):
-        out = []
-        for part in PERCENT.split(text):
+        for n, part in enumerate(PERCENT.split(text)):
             head, _, body = part.partition("\n")
             code, _, output = body.partition("\n# Out:")
-            out.append(_uncommented(code) if "[" in head else code)
-            out.append(_uncommented(output))
-        return [b for b in out if b]
-    return [b for b in (LABEL.sub("", part) for part in PROMPT.split(text)) if b]
+            marked = "[" in head
+            out.append((CODE if n and not marked else TEXT, _uncommented(code) if marked else code))
+            out.append((OUTPUT, _uncommented(output)))
+    else:
+        for part in PROMPT.split(text):
+            kind = CODE if part.startswith("In [") else OUTPUT if part.startswith("Out[") else TEXT
+            out.append((kind, LABEL.sub("", part)))
+    return [part for part in out if part[1]]
+
+
+def blocks(text: str, style: str | None) -> list[str]:
+    """The blocks alone."""
+    return [block for _, block in parts(text, style)]

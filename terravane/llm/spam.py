@@ -1,16 +1,17 @@
 """Keyword-stuffed and link-list pages, by the perplexity of word-class sequences.
 
 Texts are cut into blocks (see ``notebooks``) and each block becomes a sequence of word classes:
-function words of the corpus's languages, content words by case and whether they came shortly before,
-identifiers, numbers, links, tags, scripts, line ends and marks. Two n-gram models are counted over the
-whole corpus: one of prose, from the blocks that consist of sentences (their share of function words,
-or of hiragana, says so) and one of everything else that stands beside prose, that is code, outputs,
-headings and lists. Both are counted only on pages of which a part is prose, so pages that are nothing
-but keywords teach nothing. A block is abnormal where its perplexity is high under both models, or
-where it is low under the prose model because the same few words repeat without end. Blocks with the
-share of function words of sentences need a higher one, so that sentences of an unusual kind, such as a
-quoted exercise, stay sentences. A page is
-reported where more than half of its text stands in abnormal blocks.
+function words of the corpus's languages, content words by case and by how lately and how often they
+came before, identifiers, numbers, links, tags, scripts, line ends and marks. Two n-gram models are
+counted over the whole corpus. The prose model is taught by the blocks that are sentences: function
+words (or hiragana), marks that end sentences, no links and few words that come over and over, so that a keyword that
+happens to hold a function word ("filter of lens filter of lens ...") teaches nothing. The other model
+is taught by what stands beside prose, on pages that are mostly prose: code, outputs, headings, lists.
+
+A block is abnormal where its perplexity is high under both models, or where it is low under the prose
+model because the same few words repeat without end. What is high or low comes from the corpus itself,
+the distribution of block perplexities over its taught pages (``thresholds``). A page is reported where more than half of its text
+stands in abnormal blocks.
 
 Embedded data (base64) is no text: it counts in no block. The models' tables are bounded by the number
 of classes to the power of the order, whatever the corpus.
@@ -27,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm.notebooks import blocks
+from terravane.llm.notebooks import TEXT, parts
 from terravane.llm.words import over_all_cores
+from terravane.session import cut_lineage
 
 #: Function words of English, Spanish, German and French.
 FUNCTION_WORDS = """
@@ -49,13 +51,14 @@ sie wir ihr man wie was wo wenn dass ob auch nur noch schon sehr mehr als bevor
 du et ou mais ne pas plus dans sur avec sans pour par ce cet cette ces il elle nous vous ils elles sont était être ont
 """.split()
 
-CLASSES = "pad function word word_again Capital Capital_again CAPS CAPS_again identifier number long link tag data hiragana kanji line gap . , ; : ? ( ) [ ] { quote - * | / = < > # % mark symbol".split()
+CLASSES = "pad function word word_again Capital Capital_again CAPS CAPS_again often identifier number long link tag data hiragana kanji line gap . , ; : ? ( ) [ ] { quote - * | / = < > # % mark symbol".split()
 V = len(CLASSES)
 ID = {name: i for i, name in enumerate(CLASSES)}
 DATA, LINK = "", ""
 BLOB = re.compile(r"data:[\w/+.;=-]{1,80};base64,[A-Za-z0-9+/=\s\\]+")
 URL = re.compile(r"http[s]?://[^\s<>\"')\]]+")
 AGAIN = 20
+OFTEN, OFTEN_SPAN = 3, 40
 
 # char groups: 0 separator, 1 word, 2 hiragana, 3 kanji, 4 blank, 5 line end, 6 mark
 _GROUP = np.full(0x10000, 6, dtype=np.uint8)
@@ -161,7 +164,8 @@ def tokenize(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
         code = (total[e] - total[s]) * back[s]
         at = np.minimum(np.searchsorted(_FUNCTION, code), len(_FUNCTION) - 1)
         function = _FUNCTION[at] == code
-        # content words that came at most AGAIN content words before in the same text
+        # content words that came at most AGAIN content words before in the same text, and those that
+        # came OFTEN times within OFTEN_SPAN
         plain = np.flatnonzero((letters == n) & ~function)
         text_of = np.searchsorted(np.flatnonzero(group == 0), s[plain])
         sorting = np.lexsort((plain, code[plain], text_of))
@@ -169,10 +173,14 @@ def tokenize(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
         rank = np.arange(len(plain))
         same = (code[plain][sorting][1:] == code[plain][sorting][:-1]) & (text_of[sorting][1:] == text_of[sorting][:-1])
         again[sorting[1:]] = same & (rank[sorting][1:] - rank[sorting][:-1] <= AGAIN)
+        often = np.zeros(len(plain), dtype=bool)
+        if len(plain) > OFTEN:
+            a, b = sorting[OFTEN:], sorting[:-OFTEN]
+            often[a] = (code[plain][a] == code[plain][b]) & (text_of[a] == text_of[b]) & (rank[a] - rank[b] <= OFTEN_SPAN)
         cls = np.full(len(word), ID["identifier"], dtype=np.uint8)
         cls[digits == n] = ID["number"]
         base = np.where(uppers[plain] == 0, ID["word"], np.where((uppers[plain] == n[plain]) & (n[plain] > 1), ID["CAPS"], ID["Capital"]))
-        cls[plain] = base + again
+        cls[plain] = np.where(often, ID["often"], base + again)
         cls[function] = ID["function"]
         cls[n >= 40] = ID["long"]
         hash_before = (s > 0) & (points[s - 1] == 35)
@@ -217,21 +225,23 @@ class Page:
 
     def __init__(self, texts: list[str | None], styles: list[str | None], order: int) -> None:
         pieces: list[str] = []
-        page, size = [], []
+        page, size, kinds = [], [], []
         for i, (text, style) in enumerate(zip(texts, styles)):
             if not text or not text.strip():
                 continue
             if "base64," in text:
                 text = BLOB.sub(DATA, text)
-            for block in blocks(text, style):
+            for kind, block in parts(text, style):
                 page.append(i)
+                kinds.append(kind)
                 size.append(len(block))
                 pieces.append(URL.sub(LINK, block) if "http" in block else block)
         pieces = [p.replace("\0", " ") for p in pieces]
         self.page, self.size = np.array(page, dtype=np.int64), np.array(size, dtype=np.int64)
+        self.kind = np.array(kinds, dtype=np.int64)
         if not pieces:
             self.codes = self.owner = np.zeros(0, dtype=np.int64)
-            self.tokens = self.functions = self.links = self.size
+            self.tokens = self.functions = self.links = self.ends = self.often = self.words = self.size
             return
         codes, owners = [], []
         for a, b in _slices(pieces):
@@ -246,10 +256,23 @@ class Page:
         self.tokens = np.bincount(self.owner, minlength=len(pieces))
         self.functions = np.maximum(count("function"), count("hiragana"))
         self.links = count("link", "tag")
+        self.ends = count(".", "?")
+        self.often = count("often")
+        self.words = self.functions + self.often + count("word", "word_again", "Capital", "Capital_again", "CAPS", "CAPS_again", "kanji")
+
+    def sentences(self) -> np.ndarray:
+        """Blocks that hold sentences, with links or without."""
+        return (self.kind == TEXT) & (self.tokens >= 8) & (self.functions > 0.2 * self.words) & (60 * self.ends >= self.tokens) & (self.often < 0.2 * self.tokens)
 
     def prose(self) -> np.ndarray:
         """Blocks that consist of sentences."""
-        return (self.tokens >= 8) & (self.functions > 0.2 * self.tokens) & (self.links == 0)
+        return self.sentences() & (self.links == 0)
+
+
+    def teaching(self) -> np.ndarray:
+        """Pages that are mostly sentences, by their number."""
+        whole = np.bincount(self.page, weights=self.size)
+        return 2 * np.bincount(self.page, weights=self.size * self.sentences(), minlength=len(whole)) > np.maximum(whole, 1)
 
 
 def _small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -265,11 +288,8 @@ def _count(order: int):  # noqa: ANN202
             p = Page(batch.column(1).to_pylist(), batch.column(2).to_pylist(), order)
             if not len(p.size):
                 continue
-            prose = p.prose()
-            whole = np.bincount(p.page, weights=p.size)
-            teaching = np.bincount(p.page, weights=p.size * prose, minlength=len(whole)) > 0.2 * np.maximum(whole, 1)
-            used = teaching[p.page]
-            for kind, flags in ((0, prose & used), (1, ~prose & used)):
+            prose, used = p.prose(), p.teaching()[p.page]
+            for kind, flags in ((0, prose), (1, ~prose & used)):
                 codes, n = np.unique(p.codes[flags[p.owner]], return_counts=True)
                 counts[kind][codes] += n
         for kind in (0, 1):
@@ -302,34 +322,72 @@ def train(pages: DataFrame, order: int) -> np.ndarray:
     return np.stack(tables)
 
 
-def score(pages: DataFrame, doc: str, text: str = "text", style: str | None = None, order: int = 4, high: float = 3.2, high_sentences: float = 5.0, low: float = 0.25, least: int = 12) -> DataFrame:
-    """(doc, abnormal, share, bits) for each page with text: share of abnormal text, bits a token of it all."""
-    style_column = F.col(style) if style else F.lit(None).cast("string")
-    rows = pages.where(F.col(doc).isNotNull() & (F.length(text) > 0)).select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"), style_column.alias("style"))
-    rows = over_all_cores(rows)
-    model = pages.sparkSession.sparkContext.broadcast(train(rows, order))
+#: Shares of the taught pages' tokens beyond which a block's perplexity is high, and low with its factor.
+HIGH_SHARE, LOW_SHARE, LOW_FACTOR = 0.999, 0.001, 0.5
+BLOCKS = "doc bigint, taught boolean, best array<float>, prose array<float>, size array<int>, tokens array<int>, sentences array<boolean>"
+
+
+def measured(pages: DataFrame, order: int) -> DataFrame:
+    """One row for each page with text: the bits a token, characters and tokens of its blocks, under both models."""
+    model = pages.sparkSession.sparkContext.broadcast(train(pages, order))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.value
         for batch in _small(batches):
             p = Page(batch.column(1).to_pylist(), batch.column(2).to_pylist(), order)
-            n = batch.num_rows
             if not len(p.size):
                 continue
-            tokens = np.maximum(p.tokens, 1)
-            prose, other = (np.bincount(p.owner, weights=t[p.codes], minlength=len(p.size)) / tokens for t in tables)
-            best = np.minimum(prose, other)
-            odd = ((best > np.where(p.prose(), high_sentences, high)) | (prose < low)) & (p.tokens > 0)
-            pages_of = lambda w: np.bincount(p.page, weights=w, minlength=n)
-            size = pages_of(p.size)
-            share = pages_of(p.size * odd) / np.maximum(size, 1)
-            bits = pages_of(best * p.tokens) / np.maximum(pages_of(p.tokens), 1)
-            abnormal = (share > 0.5) & (pages_of(p.tokens * odd) >= least)
-            kept = np.flatnonzero(size)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), pa.array(abnormal[kept]), pa.array(share[kept]), pa.array(bits[kept])], names=["doc", "abnormal", "share", "bits"])
-
-    found = rows.mapInArrow(work, "doc bigint, abnormal boolean, share double, bits double")
-    return found.withColumnRenamed("doc", doc)
+            prose, other = (np.bincount(p.owner, weights=t[p.codes], minlength=len(p.size)) / np.maximum(p.tokens, 1) for t in tables)
+            kept, first = np.unique(p.page, return_index=True)
+            offsets = pa.array(np.append(first, len(p.page)).astype(np.int32))
+            lists = [np.minimum(prose, other).astype(np.float32), prose.astype(np.float32), p.size.astype(np.int32), p.tokens.astype(np.int32), p.prose()]
+            columns = [batch.column(0).take(pa.array(kept)), pa.array(p.teaching()[kept]), *[pa.ListArray.from_arrays(offsets, pa.array(x)) for x in lists]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "taught", "best", "prose", "size", "tokens", "sentences"])
+
+    return pages.mapInArrow(work, BLOCKS)
+
+
+def _quantile(rows: DataFrame, bits: str, share: float, step: float = 0.01) -> float | None:
+    """The bits a token below which the share of all tokens lies, to a step; one row a step reaches the driver."""
+    bins = rows.groupBy(F.floor(F.col(bits) / step).alias("bin")).agg(F.sum("tokens").alias("n")).toPandas().sort_values("bin")
+    if not len(bins):
+        return None
+    at = int(np.searchsorted(bins.n.cumsum(), share * bins.n.sum()))
+    return float(bins.bin.iloc[min(at, len(bins) - 1)] + 1) * step
+
+
+def thresholds(blocks: DataFrame) -> tuple[float, float]:
+    """(high, low) of the blocks' bits a token, from the distribution over the tokens of taught pages.
+
+    High is what all but a thousandth of them stay below; low is half of what a thousandth of the tokens
+    of prose stay below. Without a taught page nothing is known and nothing is abnormal.
+    """
+    each = blocks.where("taught").select(F.explode(F.arrays_zip("best", "prose", "tokens", "sentences")).alias("b")).select("b.*").where("tokens > 0")
+    high, low = _quantile(each, "best", HIGH_SHARE), _quantile(each.where("sentences"), "prose", LOW_SHARE)
+    return (np.inf if high is None else high), (0.0 if low is None else low * LOW_FACTOR)
+
+
+def score(pages: DataFrame, doc: str, text: str = "text", style: str | None = None, order: int = 4, least: int = 12) -> DataFrame:
+    """(doc, abnormal, share, bits) for each page with text: share of abnormal text, bits a token of it all.
+
+    The corpus is read twice, to count the models and to measure the blocks. Of the measured blocks, some
+    16 bytes each, a reliable checkpoint is kept, which gives the thresholds and then the pages.
+    """
+    style_column = F.col(style) if style else F.lit(None).cast("string")
+    rows = pages.where(F.col(doc).isNotNull() & (F.length(text) > 0)).select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"), style_column.alias("style"))
+    blocks = cut_lineage(measured(over_all_cores(rows), order))
+    high, low = thresholds(blocks)
+
+    def total(weight: str, where: str = "true") -> Column:
+        each = f"transform(arrays_zip(best, prose, size, tokens), b -> if(b.tokens > 0 AND {where}, {weight}, 0D))"
+        return F.expr(f"aggregate({each}, 0D, (a, b) -> a + b)")
+
+    odd = f"(b.best > {high!r}D OR b.prose < {low!r}D)" if np.isfinite(high) else f"b.prose < {low!r}D"
+    size = F.expr("aggregate(size, 0D, (a, b) -> a + b)")
+    share = total("double(b.size)", odd) / F.greatest(size, F.lit(1.0))
+    bits = total("b.best * double(b.tokens)") / F.greatest(total("double(b.tokens)"), F.lit(1.0))
+    abnormal = (share > 0.5) & (total("double(b.tokens)", odd) >= least)
+    return blocks.select(F.col("doc").alias(doc), abnormal.alias("abnormal"), share.alias("share"), bits.alias("bits"))
 
 
 def spam_pages(pages: DataFrame, doc: str, text: str = "text", style: str | None = None, **settings: float) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from terravane.llm.leakage import Codes, Index, kgram_hashes, leaked, winnow
-from terravane.llm.notebooks import blocks
+from terravane.llm.notebooks import CODE, OUTPUT, TEXT, blocks, parts
 from terravane.llm.spam import Page, score, spam_pages, tokenize
 from terravane.llm.tokenizer import DEFAULT_RANKS, Encoder, PrefixTable, Vocabulary, encode_corpus, read_ranks
 from terravane.llm.words import unescape, words
@@ -55,6 +55,9 @@ def test_blocks_of_notebooks():
     assert blocks("Text\r\n\r\nIn [1]: a = 1\r\n...: b\r\n\r\nOut[1]: 2", "prompt") == ["Text", "a = 1\nb", "2"]
     whole = json.dumps({"cells": [{"cell_type": "code", "source": ["a\n", 'b "c"'], "outputs": [{"text": ["out"]}, {"data": {"text/plain": ["z"]}}]}]})
     assert blocks(whole, "json") == ['a\nb "c"', "out", "z"]
+    assert [k for k, _ in parts(whole, "json")] == [CODE, OUTPUT, OUTPUT]
+    assert [k for k, _ in parts("Text\n\nIn [1]: a = 1\n\nOut[1]: 2", "prompt")] == [TEXT, CODE, OUTPUT]
+    assert [k for k, _ in parts("# %% [raw]\nx\n# %%\ny\n# Out:\n# 1\n", "percent")] == [TEXT, CODE, OUTPUT]
     assert blocks(whole[:-12], "json")[:2] == ['a\nb "c"', "out"]
     assert blocks("{", None) == ["{"] and blocks("", "json") == []
 
@@ -95,6 +98,23 @@ def test_spam_pages(spark):
     assert spam_pages(df.limit(0), "doc_id").count() == 0
 
 
+def test_keywords_with_function_words_teach_nothing(spark):
+    """A phrase that holds function words makes no sentences, at any size of the corpus or share of such pages."""
+    def phrases(n):
+        return " ".join(("filtro de lente", "precio", "en línea", "filtro de lente", "barato")[(n + k * k) % 5] for k in range(60 + n % 7))
+    p = Page(["# %% [markdown]\n# " + phrases(1), page(1)], ["percent"] * 2, 4)
+    assert not p.prose()[p.page == 0].any() and p.prose()[p.page == 1].any()
+    for n, m in ((120, 2), (120, 40), (480, 160)):
+        rows = [(k, page(k), "percent") for k in range(n)] + [(1000 + k, "# %% [markdown]\n# " + phrases(k), "percent") for k in range(m)]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, nb_style string")
+        assert {r.doc_id for r in spam_pages(df, "doc_id", style="nb_style").collect()} == {1000 + k for k in range(m)}
+
+
+def test_nothing_is_abnormal_without_a_taught_page(spark):
+    df = spark.createDataFrame([(1, "cheap lamp cheap lamp " * 30)], "doc_id bigint, text string")
+    assert spam_pages(df, "doc_id").count() == 0 and score(df, "doc_id").count() == 1
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return Vocabulary(read_ranks(DEFAULT_RANKS))
