@@ -60,7 +60,7 @@ def test_blocks_do_not_change_the_result(spark):
     f.loc[[100, 299, 300, 301, 450], "longitude"] -= 0.004
     df = spark.createDataFrame(f, SCHEMA)
     args = (df, "survey_id", "frame_id", "time_s", {"latitude": DEGREES, "longitude": DEGREES, "absolute_altitude_m": METRES}, {"relative_altitude_m": CLIMB})
-    whole, cut = (sorted(map(tuple, implausible(*args, block_s=b, halo_s=20).collect())) for b in (1e6, 50.0))
+    whole, cut = (sorted(map(tuple, implausible(*args, readings=n, bin_s=b).collect())) for n, b in ((10**6, 1e6), (64, 5.0)))
     assert whole == cut and len(whole) == 5
 
 
@@ -69,3 +69,18 @@ def test_rolling_median_against_plain():
     assert np.allclose(rolling_median(x, 3)[3:-3], [np.median(x[i - 3 : i + 4]) for i in range(3, 47)])
     assert len(rolling_median(x[:2], 7)) == 2 and len(rolling_median(x[:0], 7)) == 0
     assert not spikes(np.arange(3.0), np.ones(3), METRES, Settings()).any()
+
+
+def test_cut_and_uncut_agree_at_any_sampling(spark):
+    """Sources sampled every 0.1 s, 10 s and 15 min lose nothing at block edges, with repeated rows and nulls."""
+    frames = []
+    for n, step in enumerate((0.1, 10.0, 900.0)):
+        f = flight(900, f"S{n}", n)
+        f["time_s"] = np.arange(900) * step
+        f.loc[np.arange(25, 900, 30), "absolute_altitude_m"] += 60
+        f.loc[np.arange(300, 420), "absolute_altitude_m"] = np.nan
+        frames += [f, f.iloc[100:700], f.iloc[100:700]]
+    df = spark.createDataFrame(pd.concat(frames).astype(object).where(pd.concat(frames).notna(), None), SCHEMA)
+    args = (df, "survey_id", "frame_id", "time_s", {"latitude": DEGREES, "longitude": DEGREES, "absolute_altitude_m": METRES}, {"relative_altitude_m": CLIMB})
+    whole, default, cut = (sorted(map(tuple, implausible(*args, **x).collect())) for x in ({"readings": 10**6, "bin_s": 1e7}, {}, {"readings": 50, "bin_s": 30.0}))
+    assert whole == cut == default and len(whole) == 3 * 26
