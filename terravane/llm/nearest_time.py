@@ -1,11 +1,10 @@
 """Nearest record in time, by tick expansion.
 
-The time axis is cut into ticks. Every right record is exploded to each tick that holds a moment
-within the tolerance of it. For each entity-tick only what can be nearest to some moment of the tick
-is kept: the last record before the tick, the first one after it, and, as left times vary inside a
-tick, the records in it. With ticks as fine as the timestamps that is one record for each tick; with
-coarse ticks few rows are exploded. Left records then meet their tick by an equi-join and take the
-nearest of what was kept.
+The time axis is cut into ticks of half the tolerance. Every right record is exploded to each tick that
+holds a moment within the tolerance of it. For each entity-tick only what can be nearest to some moment
+of the tick is kept: the last record before the tick, the first one after it, and, as left times vary
+inside a tick, the records in it, of which there is one at most where records are further apart than a
+tick. Left records then meet their tick by an equi-join and take the nearest of what was kept.
 
 (entity, tick) is the only exchange key, so an entity with a third of all rows is spread over its
 ticks, and the aggregations after the join need no further exchange.
@@ -37,7 +36,7 @@ def nearest_in_time(
     with the smallest key. A left key that comes with several times gives its nearest pair. Empty
     tables give no rows; other columns are not read, whatever their names.
     """
-    width = float(tick or 4 * tolerance)
+    width = float(tick or tolerance / 2)
     least = F.lit(float(tolerance))
     tick_of = lambda c: F.floor(c / F.lit(width))
     rights = right.where(F.col(entity).isNotNull() & F.col(right_key).isNotNull() & finite(right_time)).select(
