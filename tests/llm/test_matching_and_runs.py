@@ -4,7 +4,7 @@ import pytest
 
 from terravane.llm import queries
 from terravane.llm.nearest_time import nearest_in_time
-from terravane.llm.runs import best_starts, collapse_runs
+from terravane.llm.runs import best_starts, collapse_runs, segment
 
 L = "e string, k bigint, t double, tick string, rt int"
 R = "e string, r bigint, t double, tick string, gap int"
@@ -58,7 +58,44 @@ def test_pruned_programme_is_optimal():
         d = rng.choice([0, 0.3, 0.9, 1.4, 5.0], 25) + rng.uniform(0, 0.05, 25)
         fresh = np.zeros(25, dtype=bool)
         fresh[0] = True
-        assert best_starts(d, fresh, 1.0).tolist() == segmentation(np.where(fresh, 0, d), 1.0).tolist()
+        assert best_starts(d, fresh, np.zeros((25, 1)), 1.0).tolist() == segmentation(np.where(fresh, 0, d), 1.0).tolist()
+
+
+def cheapest(distance, points, penalty, weight):
+    """Cost of the best of all segmentations, one by one."""
+    n, best = len(distance), np.inf
+    for cuts in range(2 ** (n - 1)):
+        begin = [0] + [i for i in range(1, n) if cuts >> (i - 1) & 1]
+        best = min(best, cost_of(begin, distance, points, penalty, weight))
+    return best
+
+
+def cost_of(begin, distance, points, penalty, weight):
+    cost = 0.0
+    for a, b in zip(begin, [*begin[1:], len(distance)]):
+        cost += penalty + distance[a + 1 : b].sum() + weight * ((points[a:b] - points[a:b].mean(axis=0)) ** 2).sum()
+    return cost
+
+
+@pytest.mark.parametrize("weight", [0.0, 0.05, 0.5, 4.0])
+def test_segments_against_all_segmentations(weight):
+    rng = np.random.default_rng(3)
+    for _ in range(25):
+        points = np.cumsum(rng.normal(0, 0.6, (10, 2)), axis=0)
+        d = np.append(0.0, np.abs(np.diff(points, axis=0)).max(axis=1))
+        begin = segment(d, points, 1.0, weight)
+        assert begin[0] == 0 and np.isclose(cost_of(begin, d, points, 1.0, weight), cheapest(d, points, 1.0, weight))
+
+
+def test_level_term_differs_from_a_threshold(spark):
+    """A slow drift: no neighbours are further apart than the tolerance, yet one level cannot stand for all."""
+    rows = [("a", i, float(i), 0.2 * i) for i in range(30)] + [("a", 30 + i, 30.0 + i, 50.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "e string, i bigint, t double, v double")
+    plain = [tuple(r) for r in collapse_runs(df, "e", "t", "i", {"v": 1.0}).orderBy("first_event").collect()]
+    assert [r[1:4] for r in plain] == [(0, 29, 30), (30, 34, 5)]
+    results = [sorted((r.first_event, r.last_event, r.n_events) for r in collapse_runs(df, "e", "t", "i", {"v": 1.0}, level_weight=0.5, block=b).collect()) for b in (4.0, 1e6)]
+    assert results[0] == results[1] and results[0][-1] == (30, 34, 5) and sum(r[2] for r in results[0]) == 35
+    assert 2 < len(results[0]) < 20
 
 
 def test_runs_edges(spark):
