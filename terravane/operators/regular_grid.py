@@ -8,10 +8,13 @@ the missing entries are replaced, until they no longer change. Start values are
 bound on the rounds: a round lowers the squared distance of the trajectory matrix to its truncation by
 at least the squared change of each missing entry, so changes above the tolerance come to an end.
 
-Work is done in blocks of slots. A block fills its own gaps and up to ``reach`` slots of the gap behind
-its last reading, whose far end is known from the next block that holds a reading. What is left of
-longer gaps is bridged by a line and marked as such; those slots come from the block summary, two
-levels of blocks at a time, so no gap is ever held in one array.
+Work is done in blocks of slots, by one rule for gaps of any length. A block of ``SLOTS`` slots sees
+``HALO`` more slots on either side, so a gap at its edge is filled from the readings of both blocks, and
+two anchors: the last reading before and the first after what it sees, however far away. Start values
+are the lines between what is known. Blocks that hold no reading are blocks like any other. ``how`` says
+what became of a slot: ``read``; ``ssa`` where the imputation ran and converged; ``linear`` where there
+was nothing to decompose, that is where the block sees no reading at all (a line is what truncation
+leaves of a line), fewer than six slots, or values without any spread.
 """
 
 from __future__ import annotations
@@ -22,9 +25,9 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terravane.operators.blocks import BLOCK, array, codes, finite, number, run_kernel, starts
+from terravane.operators.blocks import BLOCK, HOME, array, codes, finite, number, run_kernel, starts, with_blocks
 
-SLOTS = 1024
+SLOTS, HALO = 1024, 128
 
 
 def fill_linear(x: np.ndarray, missing: np.ndarray) -> np.ndarray:
@@ -33,17 +36,23 @@ def fill_linear(x: np.ndarray, missing: np.ndarray) -> np.ndarray:
     return np.interp(np.arange(len(x)), known, x[known]) if len(known) else np.zeros(len(x))
 
 
-def ssa_impute(x: np.ndarray, missing: np.ndarray, window: int = 24, rank: int = 4, tolerance: float = 1e-3) -> np.ndarray:
-    """The series with missing entries replaced by iterative singular-spectrum imputation, run until it converges."""
-    out = fill_linear(x, missing)
+def decomposable(start: np.ndarray, missing: np.ndarray, window: int = 24) -> bool:
+    """Whether imputation has something to work on: a known entry, three lags, some spread."""
+    return min(window, len(start) // 2) >= 3 and not missing.all() and start.std() > 0
+
+
+def ssa_impute(x: np.ndarray, missing: np.ndarray, window: int = 24, rank: int = 4, tolerance: float = 1e-3, start: np.ndarray | None = None) -> np.ndarray:
+    """The series with missing entries replaced by iterative singular-spectrum imputation, run until it converges.
+
+    Missing entries begin at ``start``, without it on lines; what is not ``decomposable`` stays there.
+    """
+    out = (fill_linear(x, missing) if start is None else start).astype(np.float64)
     n = len(x)
-    window = min(window, n // 2)
-    if not missing.any() or window < 3:
+    if not missing.any() or not decomposable(out, missing, window):
         return out
+    window = min(window, n // 2)
     rank = min(rank, window - 1)
     centre, spread = out.mean(), out.std()
-    if spread == 0:
-        return out
     y = (out - centre) / spread
     # values far outside the series are kept as readings, but don't shape the components
     y = np.clip(y, *(np.median(y) + np.array([-1, 1]) * 12 * (np.median(np.abs(y - np.median(y))) + 1e-9)))
@@ -66,78 +75,86 @@ def ssa_impute(x: np.ndarray, missing: np.ndarray, window: int = 24, rank: int =
     return out
 
 
-def regular_series(df: DataFrame, source: str, time: str, fields: list[str], needed: list[str], event: str, step: float, reach: int = 256) -> DataFrame:
+def _anchors(base: DataFrame, k: int) -> DataFrame:
+    """(source, block, slot, values) of the last reading before and the first after what a block sees.
+
+    One row for each piece of ``HALO`` slots that holds a reading; the window over a source holds those.
+    """
+    ratio = SLOTS // HALO
+    ends = ["slot", "t", *[f"v{i}" for i in range(k)]]
+    pieces = base.groupBy("source", F.floor(F.col("slot") / F.lit(HALO)).alias("piece")).agg(F.min(F.struct(*ends)).alias("first"), F.max(F.struct(*ends)).alias("last"))
+    order = Window.partitionBy("source").orderBy("piece")
+    gaps = pieces.select("source", F.col("piece").alias("p"), F.col("last").alias("before"), F.lead("piece").over(order).alias("q"), F.lead("first").over(order).alias("after")).where("q IS NOT NULL")
+    # a block sees the pieces ratio * block - 1 to ratio * block + ratio
+    spans = ((f"floor((p + 1) / {ratio}) + 1", f"floor((q + 1) / {ratio})", "before"), (f"floor((p - {ratio + 1}) / {ratio}) + 1", f"floor((q - {ratio + 1}) / {ratio})", "after"))
+    found = F.concat(*[F.expr(f"if({a} <= {b}, transform(sequence({a}, {b}), b -> struct(b AS block, {end} AS reading)), array())") for a, b, end in spans])
+    return gaps.select("source", F.explode(found).alias("x")).select("source", F.col("x.block").alias(BLOCK), "x.reading.*")
+
+
+def regular_series(df: DataFrame, source: str, time: str, fields: list[str], needed: list[str], event: str, step: float) -> DataFrame:
     """(source, slot_no, slot_start, n_readings, fields..., filled, how) for all slots of each source.
 
     A reading is a row whose time and ``needed`` columns are neither null nor NaN; the fields are among
     them. Rows that repeat another in source, event, time and fields count once. A slot's value is the
-    mean of its readings. ``how`` is ``read``, ``ssa`` or ``bridged``. An empty table gives no rows, a
+    mean of its readings. ``how`` is ``read``, ``ssa`` or ``linear``. An empty table gives no rows, a
     source with one slot gives that slot; other columns are not read.
     """
     slot = F.floor(number(time) / F.lit(float(step)))
     base = df.where(F.col(source).isNotNull() & finite(time, *needed)).select(
         F.col(source).cast("string").alias("source"), slot.alias("slot"), F.coalesce(F.col(event).cast("long"), F.lit(-1)).alias("event"), number(time).alias("t"), *[number(f).alias(f"v{i}") for i, f in enumerate(fields)]
     )
-    base = base.withColumn(BLOCK, F.floor(F.col("slot") / F.lit(SLOTS)))
     k = len(fields)
-    firsts = [F.min(F.struct("slot", "t", f"v{i}")).getField(f"v{i}").alias(f"first{i}") for i in range(k)]
-    lasts = [F.max(F.struct("slot", "t", f"v{i}")).getField(f"v{i}").alias(f"last{i}") for i in range(k)]
-    order = Window.partitionBy("source").orderBy(BLOCK)
-    # one row for each block that holds a reading; the window holds blocks, not readings
-    summary = base.groupBy("source", BLOCK).agg(F.min("slot").alias("low"), F.max("slot").alias("high"), *firsts, *lasts)
-    summary = summary.withColumn("next_slot", F.lead("low").over(order))
-    for i in range(k):
-        summary = summary.withColumn(f"next{i}", F.lead(f"first{i}").over(order))
-    ahead = summary.select("source", BLOCK, "next_slot", *[f"next{i}" for i in range(k)])
-    rows = base.repartition("source", BLOCK).join(ahead.hint("shuffle_hash"), ["source", BLOCK])
+    seen = with_blocks(base, "slot", SLOTS, HALO).withColumn("anchor", F.lit(False)).drop(HOME)
+    rows = seen.unionByName(_anchors(base, k).withColumn("event", F.lit(-1).cast("long")).withColumn("anchor", F.lit(True)))
 
     def kernel(table: pa.Table) -> pa.Table | None:
         code, sources = codes(table, "source")
-        block, slot_no, t, events = (array(table, n) for n in (BLOCK, "slot", "t", "event"))
-        following = array(table, "next_slot")
-        values, beyond = [array(table, f"v{i}") for i in range(k)], [array(table, f"next{i}") for i in range(k)]
+        block, slot_no, t, events, anchor = (array(table, n) for n in (BLOCK, "slot", "t", "event", "anchor"))
+        values = [array(table, f"v{i}") for i in range(k)]
         first = np.flatnonzero(starts(code, block))
         parts: list[tuple] = []
         for a, b in zip(first, [*first[1:], len(t)]):
-            once = a + np.flatnonzero(starts(t[a:b], events[a:b], *[v[a:b] for v in values]))
-            low, high = int(slot_no[a:b].min()), int(slot_no[a:b].max())
-            after = following[a]
-            tail = 0 if np.isnan(after) else int(min(after - high - 1, reach))
-            n = high - low + 1 + tail
-            at = slot_no[once] - low
+            low, high = block[a] * SLOTS - HALO, (block[a] + 1) * SLOTS + HALO
+            once = a + np.flatnonzero(starts(t[a:b], events[a:b], anchor[a:b], *[v[a:b] for v in values]) & ~anchor[a:b])
+            beyond = a + np.flatnonzero(anchor[a:b])
+            # without an anchor on a side, the source begins or ends with a reading that the block sees
+            if not (slot_no[beyond] < low).any():
+                low = slot_no[once].min()
+            if not (slot_no[beyond] >= high).any():
+                high = slot_no[once].max() + 1
+            n, at = int(high - low), slot_no[once] - low
+            own = slice(int(max(block[a] * SLOTS - low, 0)), int(max(min((block[a] + 1) * SLOTS, high) - low, 0)))
+            if own.start >= own.stop:
+                continue
             count = np.bincount(at, minlength=n)
             missing = count == 0
-            filled = []
-            for v, ahead_value in zip(values, beyond):
+            known = np.flatnonzero(~missing)
+            filled, ran = [], np.zeros(n, dtype=bool)
+            for v in values:
                 x = np.bincount(at, weights=v[once], minlength=n) / np.maximum(count, 1)
-                if tail and missing.any():
-                    # the next reading anchors the far end of the gap; a longer gap is met on its way there
-                    end = x[high - low] + (ahead_value[a] - x[high - low]) * (tail + 1) / (after - high)
-                    filled.append(ssa_impute(np.append(x, end), np.append(missing, False))[:n])
-                else:
-                    filled.append(ssa_impute(x, missing))
-            parts.append((np.full(n, code[a]), low + np.arange(n), count, *filled))
-        joined = [np.concatenate([p[i] for p in parts]) for i in range(3 + k)]
+                places, heights = np.append(known, slot_no[beyond] - low), np.append(x[known], v[beyond])
+                sorting = np.argsort(places)
+                line = np.interp(np.arange(n), places[sorting], heights[sorting])
+                if missing[own].any():
+                    ran |= decomposable(line, missing)
+                    line = ssa_impute(x, missing, start=line)
+                filled.append(line[own])
+            how = np.where(~missing, "read", np.where(ran, "ssa", "linear"))[own]
+            parts.append((np.full(own.stop - own.start, code[a]), (low + np.arange(n))[own], count[own], how, *filled))
+        if not parts:
+            return None
+        joined = [np.concatenate([p[i] for p in parts]) for i in range(4 + k)]
         out = {
             "source": pa.DictionaryArray.from_arrays(pa.array(joined[0]), pa.array(sources, pa.string())).cast(pa.string()),
             "slot_no": joined[1].astype(np.int64),
             "n_readings": joined[2].astype(np.int64),
+            "how": joined[3],
         }
-        out |= {f"v{i}": joined[3 + i] for i in range(k)}
+        out |= {f"v{i}": joined[4 + i] for i in range(k)}
         return pa.table(out)
 
     types = ", ".join(f"v{i} double" for i in range(k))
-    near = run_kernel(rows.withColumn("next_slot", F.col("next_slot").cast("double")), "source", ["t", "event", *[f"v{i}" for i in range(k)]], kernel, f"source string, slot_no bigint, n_readings bigint, {types}")
-    near = near.withColumn("how", F.when(F.col("n_readings") > 0, "read").otherwise("ssa"))
-    long = summary.where(F.col("next_slot") - F.col("high") - 1 > reach).withColumn("from", F.col("high") + reach + 1)
-    low_block, high_block = F.floor(F.col("from") / SLOTS), F.floor((F.col("next_slot") - 1) / SLOTS)
-    long = long.withColumn("gap_block", F.explode(F.sequence(low_block, high_block)))
-    ends = F.sequence(F.greatest(F.col("from"), F.col("gap_block") * SLOTS), F.least(F.col("next_slot") - 1, F.col("gap_block") * SLOTS + SLOTS - 1))
-    long = long.withColumn("slot_no", F.explode(ends))
-    share = (F.col("slot_no") - F.col("high")) / (F.col("next_slot") - F.col("high"))
-    bridged = long.select(
-        "source", "slot_no", F.lit(0).cast("bigint").alias("n_readings"), *[(F.col(f"last{i}") + (F.col(f"next{i}") - F.col(f"last{i}")) * share).alias(f"v{i}") for i in range(k)], F.lit("bridged").alias("how")
-    )
-    return near.unionByName(bridged).select(
+    series = run_kernel(rows, "source", ["anchor", "t", "event", *[f"v{i}" for i in range(k)]], kernel, f"source string, slot_no bigint, n_readings bigint, how string, {types}")
+    return series.select(
         F.col("source").alias(source), "slot_no", (F.col("slot_no") * F.lit(float(step))).alias("slot_start"), "n_readings", *[F.col(f"v{i}").alias(f) for i, f in enumerate(fields)], (F.col("how") != "read").alias("filled"), "how"
     )

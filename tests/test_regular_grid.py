@@ -12,7 +12,7 @@ def test_slots_marks_and_values(spark):
     got = {(r.survey_id, r.slot_no): r for r in regular_series(df, *ARGS, step=2.0).collect()}
     assert sorted(got) == [("A", 0), ("A", 1), ("A", 2), ("A", 3), ("B", 3)]
     assert got["A", 0].n_readings == 2 and got["A", 0].h == 2.0 and not got["A", 0].filled
-    assert got["A", 1].filled and got["A", 1].h is not None and got["A", 1].how == "ssa"
+    assert got["A", 1].filled and got["A", 1].h is not None and got["A", 1].how == "linear"  # four slots are too few to decompose
     assert regular_series(df.limit(0), *ARGS, step=2.0).count() == 0
 
 
@@ -23,9 +23,25 @@ def test_gaps_across_and_beyond_blocks(spark):
     rows = sorted(regular_series(df, *ARGS, step=step).collect(), key=lambda r: r.slot_no)
     assert [r.slot_no for r in rows] == list(range(slots[-1] + 1))
     assert [r.slot_no for r in rows if not r.filled] == slots
-    assert {r.how for r in rows} == {"read", "ssa", "bridged"}
-    bridged = [r for r in rows if r.how == "bridged"]
-    assert all(abs(r.h - r.slot_no) < 1e-6 for r in bridged)
+    assert {r.how for r in rows} == {"read", "ssa", "linear"}
+    linear = [r.slot_no for r in rows if r.how == "linear"]  # blocks that see no reading
+    assert min(linear) == 2 * SLOTS and max(linear) == 3 * SLOTS - 1
+    assert all(abs(r.h - r.slot_no) < 1e-6 for r in rows if r.how == "linear")
+
+
+def test_gaps_are_filled_from_both_sides(spark):
+    """A wave with gaps at and across block edges comes out as in one array over the whole series."""
+    n = 2 * SLOTS + 300
+    t = np.arange(n)
+    x = 5 * np.sin(t / 6) + 0.01 * t
+    missing = np.zeros(n, dtype=bool)
+    for a, b in ((SLOTS - 6, SLOTS + 6), (2 * SLOTS, 2 * SLOTS + 12), (400, 412)):
+        missing[a:b] = True
+    df = spark.createDataFrame([("A", int(i), 2.0 * float(i) + 0.5, float(x[i]), 1.0, "x", 0) for i in np.flatnonzero(~missing)], SCHEMA)
+    rows = sorted(regular_series(df, *ARGS, step=2.0).collect(), key=lambda r: r.slot_no)
+    got = np.array([r.h for r in rows])
+    assert [r.how for r in rows] == np.where(missing, "ssa", "read").tolist()
+    assert np.abs(got - x)[missing].mean() < 0.3 * np.abs(fill_linear(x, missing) - x)[missing].mean()
 
 
 def test_imputation_beats_the_line():
