@@ -127,34 +127,31 @@ def profiles(found: DataFrame) -> DataFrame:
     )
 
 
-def versions(logs: DataFrame, found: DataFrame) -> DataFrame:
-    """One row for each file: fingerprint, schema version in its logger, and the schema before.
+def versions(logs: DataFrame, schemas: DataFrame) -> DataFrame:
+    """One row for each file: fingerprint, schema version in its logger, and the file before.
 
-    Files without any known field have an empty schema. A logger's window holds its files, not its lines.
+    Files without any known field have an empty schema. A logger's window holds a few numbers of each file.
     """
     files = logs.where("file_id IS NOT NULL AND logger_id IS NOT NULL").groupBy("file_id", "logger_id").agg(F.min("written_at").alias("written_at"))
-    schema = profiles(found).groupBy("file_id", "logger_id").agg(F.sort_array(F.collect_list(F.struct("field_name", "raw_name", "kind"))).alias("schema"))
-    none = F.array().cast("array<struct<field_name:string,raw_name:string,kind:string>>")
-    per_file = files.join(schema, ["file_id", "logger_id"], "left").withColumn("schema", F.coalesce("schema", none)).withColumn("fingerprint", F.xxhash64("schema"))
+    prints = schemas.groupBy("file_id", "logger_id").agg(F.xxhash64(F.sort_array(F.collect_list(F.struct("field_name", "raw_name", "kind")))).alias("fingerprint"))
+    per_file = files.join(prints, ["file_id", "logger_id"], "left").fillna(0, "fingerprint")
     order = Window.partitionBy("logger_id").orderBy("written_at", "file_id")
     fresh = F.coalesce(F.lag("fingerprint").over(order) != F.col("fingerprint"), F.lit(True))
     return (
         per_file.withColumn("fresh", fresh)
-        .withColumn("before", F.lag("schema").over(order))
+        .withColumn("before_id", F.lag("file_id").over(order))
         .withColumn("version", F.sum(F.col("fresh").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     )
 
 
-def migration_steps(logs: DataFrame, registry: Registry = WAYPOINT_LOGS) -> DataFrame:
-    """One row for each change between a file and the one of its logger before it.
-
-    Columns: file_id, logger_id, version, field_name, change, from_name, to_name, from_kind, to_kind. Only
-    the first file of a schema version has steps; the first version of a logger has none.
-    """
-    new = versions(logs, values(logs, registry)).where("fresh AND before IS NOT NULL")
-    both = new.withColumn("field_name", F.explode(F.array_distinct(F.concat(F.col("schema.field_name"), F.col("before.field_name")))))
-    pick = lambda side: F.try_element_at(F.filter(side, lambda x: x["field_name"] == F.col("field_name")), F.lit(1))
-    steps = both.withColumn("now", pick("schema")).withColumn("was", pick("before"))
+def all_steps(files: DataFrame, schemas: DataFrame) -> DataFrame:
+    """Migration steps into each schema version; those into a logger's first one add all its fields."""
+    new = files.where("fresh")
+    now = new.join(schemas.drop("written_at"), ["file_id", "logger_id"]).withColumn("side", F.lit("now"))
+    was = new.join(schemas.drop("written_at").withColumnRenamed("file_id", "before_id"), ["before_id", "logger_id"]).withColumn("side", F.lit("was"))
+    rule = F.struct("raw_name", "kind")
+    both = now.select(*was.columns).unionByName(was).groupBy("file_id", "logger_id", "version", "before_id", "field_name")
+    steps = both.agg(F.max(F.when(F.col("side") == "now", rule)).alias("now"), F.max(F.when(F.col("side") == "was", rule)).alias("was"))
     change = F.when(F.col("was").isNull(), F.array(F.lit("added"))).when(F.col("now").isNull(), F.array(F.lit("removed"))).otherwise(
         F.array_compact(
             F.array(
@@ -164,19 +161,57 @@ def migration_steps(logs: DataFrame, registry: Registry = WAYPOINT_LOGS) -> Data
         )
     )
     return steps.select(
-        "file_id", "logger_id", "version", "field_name", F.explode(change).alias("change"), F.col("was.raw_name").alias("from_name"), F.col("now.raw_name").alias("to_name"), F.col("was.kind").alias("from_kind"), F.col("now.kind").alias("to_kind")
+        "file_id", "logger_id", "version", "before_id", "field_name", F.explode(change).alias("change"), F.col("was.raw_name").alias("from_name"), F.col("now.raw_name").alias("to_name"), F.col("was.kind").alias("from_kind"), F.col("now.kind").alias("to_kind")
     )
 
 
+def migration_steps(logs: DataFrame, registry: Registry = WAYPOINT_LOGS) -> DataFrame:
+    """One row for each change between a file and the one of its logger before it.
+
+    Columns: file_id, logger_id, version, field_name, change, from_name, to_name, from_kind, to_kind. Only
+    the first file of a schema version has steps; the first version of a logger has none.
+    """
+    schemas = profiles(values(logs, registry))
+    return all_steps(versions(logs, schemas), schemas).where("before_id IS NOT NULL").drop("before_id")
+
+
+def version_rules(files: DataFrame, steps: DataFrame, registry: Registry) -> DataFrame:
+    """(logger_id, version, field_name, rule, kind): the raw name and type each version reads a field from.
+
+    The steps are chained: a field's rule is that of the latest step up to the version, and a removed
+    field has none, which means the default null.
+    """
+    names = [*registry.line, *registry.header]
+    known = files.select("logger_id", "version").distinct().withColumn("field_name", F.explode(F.array(*[F.lit(n) for n in names])))
+    latest = steps.groupBy("logger_id", "version", "field_name").agg(F.max(F.struct("to_name", "to_kind")).alias("step"))
+    order = Window.partitionBy("logger_id", "field_name").orderBy("version").rowsBetween(Window.unboundedPreceding, 0)
+    chained = known.join(latest, ["logger_id", "version", "field_name"], "left").withColumn("rule", F.last("step", ignorenulls=True).over(order))
+    return chained.where("rule.to_name IS NOT NULL").select("logger_id", "version", "field_name", F.col("rule.to_name").alias("rule"), F.col("rule.to_kind").alias("kind"))
+
+
+def unmapped_names(logs: DataFrame, registry: Registry = WAYPOINT_LOGS) -> DataFrame:
+    """(file_id, header, raw_name, n): names outside the registry that carry a value, with their distinct lines.
+
+    They are bookkeeping or a field's new name that the registry doesn't know yet; nothing vanishes unseen.
+    """
+    lines = logs.where("file_id IS NOT NULL AND payload IS NOT NULL").select("file_id", F.coalesce(F.col("line_no") == 0, F.lit(False)).alias("header"), "payload").distinct()
+    lines = lines.withColumn("object", F.try_parse_json("payload")).where("object IS NOT NULL")
+    pairs = lines.lateralJoin(logs.sparkSession.tvf.variant_explode(F.col("object").outer())).where("key IS NOT NULL")
+    known = F.when(F.col("header"), F.col("key").isin(*registry.carried(True))).otherwise(F.col("key").isin(*registry.carried(False)))
+    return pairs.where(~known & ~F.is_variant_null("value")).groupBy("file_id", "header", F.col("key").alias("raw_name")).agg(F.count("*").alias("n"))
+
+
 def consistent_readings(logs: DataFrame, registry: Registry = WAYPOINT_LOGS) -> DataFrame:
     """All waypoint lines in one schema, whatever their file calls and writes their fields.
 
-    The value of each field comes from its file's raw name first (the rule of the file's version), else
-    from any other alias in the line. Coordinates of a pair follow the order the file's header names,
-    lat_lon where it names none.
+    Each file takes the chained rules of its schema version. A value comes from the rule's raw name, else
+    from the alias that the registry names first; of several values under one name, the smallest.
+    Coordinates of a pair follow the order the file's header names, lat_lon where it names none.
     """
     found = values(logs, registry)
-    rules = profiles(found).select("file_id", "field_name", F.col("raw_name").alias("rule"))
+    schemas = profiles(found)
+    files = versions(logs, schemas)
+    rules = files.select("file_id", "logger_id", "version").join(version_rules(files, all_steps(files, schemas), registry), ["logger_id", "version"]).select("file_id", "field_name", "rule")
     order = (
         found.where("header AND array_contains(fields, 'latlon_order')")
         .groupBy("file_id")
@@ -189,13 +224,16 @@ def consistent_readings(logs: DataFrame, registry: Registry = WAYPOINT_LOGS) ->
     place = F.when((F.col("field_name") == "latitude") != lon_first, 1).otherwise(2)
     is_pair = F.col("raw_name").isin(*registry.pairs)
     text = F.when(is_pair, F.try_element_at(pair, place)).otherwise(F.col("value"))
-    factor = F.lit(1.0)
+    factor, rank = F.lit(1.0), F.lit(99)
     for raw, by in FACTORS.items():
         factor = F.when(F.col("raw_name") == raw, F.lit(by)).otherwise(factor)
+    for raws in registry.line.values():
+        for n, raw in enumerate(raws):
+            rank = F.when(F.col("raw_name") == raw, n).otherwise(rank)
     number = text.try_cast("double")
     filler = (number == -1) & F.col("whole") & ~F.col("field_name").isin("frame_id", "time_s") | (F.col("field_name") == "rtk_q") & (number == -1)
     cast = lines.withColumn("number", F.when(~filler & ~F.isnan(number), number * factor))
-    preferred = F.struct((F.col("raw_name") == F.col("rule")).alias("own"), F.col("number"))
-    wide = cast.where("number IS NOT NULL").groupBy("file_id", "logger_id", "survey_id", "written_at", "line_no").pivot("field_name", list(registry.line)).agg(F.max(preferred).getField("number"))
+    choice = F.struct(F.when(F.col("raw_name") == F.col("rule"), -1).otherwise(rank).alias("rank"), F.col("number"))
+    wide = cast.where("number IS NOT NULL").groupBy("file_id", "logger_id", "survey_id", "written_at", "line_no").pivot("field_name", list(registry.line)).agg(F.min(choice).getField("number"))
     whole = {"frame_id": "bigint", "rtk_q": "int"}
     return wide.select("file_id", "logger_id", "survey_id", "written_at", "line_no", *[F.col(f).cast(whole.get(f, "double")).alias(f) for f in registry.line])

@@ -22,7 +22,7 @@ import re
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
-from zoneinfo import ZoneInfo
+from zoneinfo import TZPATH, ZoneInfo
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravane.operators.blocks import finite
+from terravane.session import cut_lineage
 
 EARLIEST = 1420070400000  # 2015-01-01 in Unix milliseconds
 GPS_EPOCH = 315964800000
@@ -118,16 +119,33 @@ def days_from_civil(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> np.ndarray:
 NONE, ABSOLUTE, LOCAL = 0, 1, 2
 
 
-def parse(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Milliseconds and kind of each text: on UTC for ABSOLUTE, on the camera's clock for LOCAL."""
+def parse(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Milliseconds and kind of each text: on UTC for ABSOLUTE, on the camera's clock for LOCAL.
+
+    Texts of about the same length go together, so one very long text widens no other's row.
+    """
+    ms, kind = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int8)
+    width = np.array([1 << max(4, (len(t) - 1).bit_length()) for t in texts], dtype=np.int64)
+    for w in np.unique(width):
+        rows, step = np.flatnonzero(width == w), max(1, MATRIX // int(w))
+        for at in range(0, len(rows), step):
+            part = rows[at : at + step]
+            ms[part], kind[part] = _parse_matrix(np.array([texts[k] for k in part], dtype=f"U{w}"))
+    return ms, kind
+
+
+#: Most code points in one matrix of texts, and the longest mask that is kept for the next batch.
+MATRIX, KEPT_MASK = 4_000_000, 256
+
+
+def _parse_matrix(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ms, kind = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int8)
-    if not len(texts):
-        return ms, kind
     points, masks, inverse = masks_of(texts)
     order = np.argsort(inverse, kind="stable")
     bounds = np.searchsorted(inverse[order], np.arange(len(masks) + 1))
     for n, mask in enumerate(masks):
-        if (parser := parser_of(mask)) is None:
+        parser = parser_of(mask) if len(mask) <= KEPT_MASK else parser_of.__wrapped__(mask)
+        if parser is None:
             continue
         rows = order[bounds[n] : bounds[n + 1]]
         ms[rows], kind[rows] = _convert(points[rows], *parser)
@@ -182,12 +200,18 @@ def _convert(p: np.ndarray, family: str, at: dict[str, tuple[int, int]]) -> tupl
 
 def zone_data_version() -> str:
     """Version of the zone data that the tables are built from."""
+    for folder in TZPATH:
+        try:
+            with open(f"{folder}/tzdata.zi", encoding="utf-8") as f:
+                return f.readline().removeprefix("# version").strip()
+        except OSError:
+            continue
     try:
         import tzdata
 
         return tzdata.IANA_VERSION
     except ImportError:
-        return "system"
+        return "unknown"
 
 
 @lru_cache(maxsize=1000)
@@ -264,15 +288,14 @@ def candidates(marks: DataFrame, clocks: DataFrame, mark: str, source: str, even
     rows = marks.where(F.col(mark).isNotNull() & F.col(text).isNotNull()).select(
         F.col(mark).cast("long").alias("mark"), F.col(source).cast("string").alias("s"), F.col(event).cast("long").alias("event"), trimmed.alias("text")
     )
-    rows = rows.where(F.length("text").between(9, 64)).distinct()
+    rows = rows.where(F.length("text") > 0).distinct()
     joined = rows.join(known, "s", "left").select("mark", F.col("s").alias("source"), "event", "text", F.col("c.clock").alias("clock"), F.col("c.offset_ms").alias("offset_ms"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts = np.array(batch.column(3).to_pylist(), dtype=np.str_)
-            ms, kind = parse(texts)
+            ms, kind = parse(batch.column(3).to_pylist())
             second = np.full(len(ms), -1, dtype=np.int64)
             clocks_of = batch.column(4).dictionary_encode()
             code = clocks_of.indices.fill_null(-1).to_numpy(zero_copy_only=False)
@@ -299,9 +322,10 @@ def instants(
 
     ``positions`` gives the position ``time`` (seconds on the recording's own axis) of each event of a
     source; it is needed for sources with doubtful marks only. ``tolerance_s`` is how far two marks may
-    differ from the advance of their positions.
+    differ from the advance of their positions. The candidates, a row of five numbers for each readable
+    mark, are kept in one checkpoint, so each text is parsed once.
     """
-    read = candidates(marks, clocks, mark, source, event, text, clock, offset)
+    read = cut_lineage(candidates(marks, clocks, mark, source, event, text, clock, offset))
     flagged = read.groupBy("source").agg(F.max(F.col("second_ms").isNotNull()).alias("doubtful")).where("doubtful").select("source")
     sure = read.where(F.col("second_ms").isNull()).select("mark", F.col("first_ms").alias("utc_ms"))
     asked = read.join(flagged, "source", "left_semi")

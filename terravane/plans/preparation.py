@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from terravane.operators.regular_grid import regular_series
-from terravane.operators.schema_drift import consistent_readings, migration_steps
+from terravane.operators.schema_drift import WAYPOINT_LOGS, consistent_readings, migration_steps, unmapped_names
 from terravane.operators.spikes import implausible_waypoints
 from terravane.operators.wall_clock import instants
 from terravane.session import read
@@ -19,6 +19,10 @@ def p2_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent_readings(read(spark, sf_dir, "raw_logs"))
 
 
+def p2_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unmapped_names(read(spark, sf_dir, "raw_logs"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return implausible_waypoints(read(spark, sf_dir, "waypoints")).select("survey_id", "frame_id", "field_name")
 
@@ -51,9 +55,17 @@ def p6_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _height_series(spark, sf_dir)
 
 
-QUERIES = {"p2_found": p2_found, "p2_readings": p2_readings, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_series": p6_series}
+QUERIES = {"p2_found": p2_found, "p2_readings": p2_readings, "p2_unmapped": p2_unmapped, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_series": p6_series}
 
+_QUOTED = {h: ", ".join(f"'{n}'" for n in WAYPOINT_LOGS.carried(h)) for h in (True, False)}
 ORACLE: dict[str, str] = {
+    "p2_unmapped": f"""
+        WITH l AS (SELECT DISTINCT file_id, line_no = 0 AS header, payload FROM raw_logs WHERE json_valid(payload)),
+        k AS (SELECT *, unnest(json_keys(payload)) AS raw_name FROM l)
+        SELECT file_id, header, raw_name, count(*) AS n FROM k
+        WHERE json_type(payload, '$."' || raw_name || '"') <> 'NULL'
+          AND NOT CASE WHEN header THEN raw_name IN ({_QUOTED[True]}) ELSE raw_name IN ({_QUOTED[False]}) END
+        GROUP BY ALL""",
     "p6_found": """
         WITH s AS (SELECT DISTINCT survey_id, CAST(floor(time_s / 2) AS BIGINT) AS k FROM waypoints
                    WHERE time_s IS NOT NULL AND relative_altitude_m IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL),

@@ -76,3 +76,10 @@ def test_repeated_hour_is_decided_by_the_sequence(spark):
     # B leaves both hours possible; C has no clock, D no offset but one text with its own zone
     assert got == {1: ms(2023, 10, 29, 0, 30), 2: ms(2023, 10, 29, 1, 10), 3: ms(2023, 10, 29, 2, 10), 7: ms(2023, 10, 29, 0, 30)}
     assert instants(m.limit(0), r, w, **names).count() == 0
+
+
+def test_texts_of_any_length():
+    digits = "2023-05-17T19:45:25." + "5" * 5000
+    got, kinds = parse([digits, "x" * 3_000_000, "9" * 100_000, "", "2153 GPS 5", digits])
+    assert list(kinds) == [LOCAL, NONE, NONE, NONE, ABSOLUTE, LOCAL]
+    assert got[0] == got[5] == ms(2023, 5, 17, 19, 45, 25) + 556
