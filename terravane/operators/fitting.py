@@ -53,21 +53,32 @@ def trimmed_fit(pairs: DataFrame, source: list[str], target: list[str], floor_m:
     return fit, n
 
 
-def ground_mode(heights: DataFrame, column: str, bins: int = 240) -> float | None:
-    """Most common low height: first histogram bin of 30 % of the highest, then up to its local top."""
-    ends = heights.agg(F.percentile(column, F.lit(0.005)).alias("a"), F.percentile(column, F.lit(0.75)).alias("b")).first()
-    if ends["a"] is None:
+def ground_mode(heights: DataFrame, column: str, tolerance: float = 0.01, bins: int = 512) -> float | None:
+    """Level of the ground among heights: the half-sample mode of their lower half.
+
+    The shortest interval that holds half of the values is taken again and again, until it is shorter
+    than the tolerance. Each round is one aggregation to at most ``bins`` counts over the current
+    interval, so stray values far below or above cost a round more and bias nothing. Nulls and NaN are no
+    heights; None without any.
+    """
+    values = heights.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select(F.col(column).cast("double").alias("h"))
+    low, high = values.agg(F.min("h"), F.percentile_approx("h", 0.5, 10_000)).first()
+    if low is None:
         return None
-    a, b = float(ends["a"]), float(ends["b"])
-    if b <= a:
-        return a
-    counts = np.zeros(bins)
-    binned = heights.where(F.col(column).between(a, b)).groupBy(F.least(F.floor((F.col(column) - a) / ((b - a) / bins)), F.lit(bins - 1)).alias("k")).count()
-    for row in binned.collect():  # at most ``bins`` rows
-        counts[row["k"]] = row["count"]
-    kernel = np.exp(-0.5 * (np.arange(-6, 7) / 2.0) ** 2)
-    smooth = np.convolve(counts, kernel / kernel.sum(), mode="same")
-    k = int(np.argmax(smooth >= 0.3 * smooth.max()))
-    while k + 1 < bins and smooth[k + 1] >= smooth[k]:
-        k += 1
-    return a + (k + 0.5) * (b - a) / bins
+    while high - low > tolerance:
+        width = (high - low) / bins
+        place = F.least(F.floor((F.col("h") - low) / width), F.lit(bins - 1)).alias("k")
+        counts = np.zeros(bins)
+        for k, n in values.where(F.col("h").between(low, high)).groupBy(place).count().collect():  # at most ``bins`` rows
+            counts[k] = n
+        total = np.concatenate([[0.0], np.cumsum(counts)])
+        end = np.searchsorted(total, total[:-1] + 0.5 * total[-1] - 1e-9)
+        end = np.where(end <= bins, end, 10 * bins)
+        length = end - np.arange(bins)
+        first = int(length.argmin())
+        ties = np.flatnonzero(length == length[first])
+        first = int(ties[np.argmax([total[end[t]] - total[t] for t in ties])])
+        if length[first] >= bins:
+            break
+        low, high = low + first * width, low + end[first] * width
+    return (low + high) / 2

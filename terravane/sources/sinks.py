@@ -8,8 +8,10 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -88,54 +90,119 @@ def quantised(points: DataFrame, scale: float = 0.001) -> DataFrame:
     return q.select("survey_id", *whole, *[(F.col(c) * 257).cast("int").alias(f"{c}16") for c in "rgb"], F.floor(luma).cast("int").alias("intensity"))
 
 
-def write_las(path: str, xyz: np.ndarray, rgb: np.ndarray, classes: np.ndarray | None = None, scale: float = 0.001) -> None:
-    """LAS 1.2, point format 3."""
-    n = len(xyz)
-    offset = np.floor(xyz.min(axis=0)) if n else np.zeros(3)
-    record = np.dtype([("p", "<i4", 3), ("intensity", "<u2"), ("flags", "u1"), ("cls", "u1"), ("angle", "i1"), ("user", "u1"), ("source", "<u2"), ("time", "<f8"), ("rgb", "<u2", 3)])
-    data = np.zeros(n, dtype=record)
-    data["p"] = np.round((xyz - offset) / scale)
-    data["rgb"] = rgb.astype(np.uint16) * 257
-    data["intensity"] = (rgb @ np.array([0.299, 0.587, 0.114]) * 257).astype(np.uint16)
-    data["flags"], data["cls"] = 0b001001, 0 if classes is None else classes
-    low, high = (xyz.min(axis=0), xyz.max(axis=0)) if n else (np.zeros(3), np.zeros(3))
-    head = struct.pack("<4sHHIHH8sBB32s32sHHHIIBHI5I", b"LASF", 0, 0, 0, 0, 0, b"\0" * 8, 1, 2, b"survey", b"terravane", 1, 2024, 227, 227, 0, 3, 34, n, n, 0, 0, 0, 0)
-    head += struct.pack("<12d", *[scale] * 3, *offset, *[v for k in range(3) for v in (high[k], low[k])])
-    with open(path + ".tmp", "wb") as f:
-        f.write(head)
-        f.write(data.tobytes())
-    os.replace(path + ".tmp", path)
-
-
-def write_geotiff(path: str, raster: np.ndarray, x0: float, y0: float, res: float, epsg: int, nodata: float = -9999.0) -> None:
-    """One float32 band in deflated strips of at most 256 KiB, north up."""
+#: Record of LAS point format 3.
+LAS_POINT = np.dtype([("p", "<i4", 3), ("intensity", "<u2"), ("flags", "u1"), ("cls", "u1"), ("angle", "i1"), ("user", "u1"), ("source", "<u2"), ("time", "<f8"), ("rgb", "<u2", 3)])
+
+
+def las_header(n: int, scale: float, offset: np.ndarray, low: np.ndarray, high: np.ndarray, epsg: int | None) -> bytes:
+    """LAS 1.2 header, with a GeoTIFF key record where a projection is given."""
+    keys = struct.pack("<12H", 1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, epsg) if epsg else b""
+    record = struct.pack("<H16sHH32s", 0, b"LASF_Projection", 34735, len(keys), b"") + keys if epsg else b""
+    head = struct.pack("<4sHHIHH8sBB32s32sHHHIIBHI5I", b"LASF", 0, 0, 0, 0, 0, b"", 1, 2, b"survey", b"terravane", 1, 2024, 227, 227 + len(record), bool(epsg), 3, LAS_POINT.itemsize, n, n, 0, 0, 0, 0)
+    return head + struct.pack("<12d", *[scale] * 3, *offset, *np.c_[high, low].ravel()) + record
+
+
+class LasWriter(DataSourceWriter):
+    """One LAS file for each partition; x, y, z and, where the rows have them, r, g, b and cls."""
+
+    def __init__(self, options: dict) -> None:
+        self.path, self.scale = options["path"], float(options.get("scale", 0.001))
+        self.epsg = int(options["epsg"]) if "epsg" in options else None
+        os.makedirs(self.path, exist_ok=True)
+
+    def write(self, rows: Iterator) -> Part:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        name = os.path.join(self.path, f".part-{context.partitionId():05d}-{context.taskAttemptId()}")
+        offset, low, high, count = None, np.full(3, np.inf), np.full(3, -np.inf), 0
+        with open(name, "wb") as f:
+            while chunk := list(islice(rows, 50_000)):
+                field = lambda k: np.array([(r[k] if k in r and r[k] is not None else 0) for r in chunk])
+                xyz = np.stack([field(k).astype(float) for k in "xyz"], axis=1)
+                # whole multiples of a hundred metres near the first point keep integers small in any projection
+                offset = np.round(xyz[0] / 100) * 100 if offset is None else offset
+                data = np.zeros(len(chunk), dtype=LAS_POINT)
+                data["p"] = np.rint((xyz - offset) / self.scale)
+                data["rgb"] = np.stack([field(k).astype(np.uint16) for k in "rgb"], axis=1) * 257
+                data["cls"], data["flags"] = field("cls"), 0b001001
+                f.write(data.tobytes())
+                low, high, count = np.minimum(low, xyz.min(axis=0)), np.maximum(high, xyz.max(axis=0)), count + len(chunk)
+        if count:
+            head = las_header(count, self.scale, offset, low, high, self.epsg)
+            with open(name + ".whole", "wb") as out, open(name, "rb") as body:
+                out.write(head)
+                while piece := body.read(1 << 22):
+                    out.write(piece)
+            os.replace(name + ".whole", name)
+        return Part(name, count)
+
+    def commit(self, messages: list) -> None:
+        for n, part in enumerate(m for m in messages if m is not None):
+            if part.rows:
+                os.replace(part.path, os.path.join(self.path, f"part-{n:05d}.las"))
+            else:
+                os.remove(part.path)
+
+    abort = PlyWriter.abort
+
+
+class LasSink(DataSource):
+    """``df.write.format("lasfile").option("epsg", 32635).mode("append").save(folder)``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "lasfile"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return LasWriter(self.options)
+
+
+def geotiff(raster: np.ndarray, x0: float, y0: float, res: float, epsg: int, nodata: float = -9999.0, side: int = 256) -> bytes:
+    """One float32 band, north up, in deflated square tiles."""
     rows, cols = raster.shape
-    image = np.where(np.isnan(raster), nodata, raster).astype("<f4")
-    per = max(1, min(rows, (256 * 1024) // max(1, cols * 4)))
-    strips = [zlib.compress(image[a : a + per].tobytes()) for a in range(0, rows, per)]
-    keys = struct.pack("<16H", 1, 1, 0, 3, 1024, 0, 1, 1, 1025, 0, 1, 1, 3072, 0, 1, epsg)
-    text = f"{nodata:g}\0".encode()
-    tags = [
-        (256, 4, 1, struct.pack("<I", cols)), (257, 4, 1, struct.pack("<I", rows)), (258, 3, 1, struct.pack("<H", 32)), (259, 3, 1, struct.pack("<H", 8)), (262, 3, 1, struct.pack("<H", 1)), (273, 4, len(strips), None), (277, 3, 1, struct.pack("<H", 1)), (278, 4, 1, struct.pack("<I", per)),
-        (279, 4, len(strips), struct.pack(f"<{len(strips)}I", *map(len, strips))), (339, 3, 1, struct.pack("<H", 3)), (33550, 12, 3, struct.pack("<3d", res, res, 0)), (33922, 12, 6, struct.pack("<6d", 0, 0, 0, x0, y0, 0)), (34735, 3, 16, keys), (42113, 2, len(text), text),
-    ]
-    at = 8 + 2 + 12 * len(tags) + 4
-    place = {}
-    for tag, _, count, value in tags:
-        size = 4 * count if value is None else len(value)
-        if size > 4:
-            place[tag] = at
-            at += size + size % 2
-    starts = [at + sum(map(len, strips[:k])) for k in range(len(strips))]
-    body, extra = b"", b""
-    for tag, kind, count, value in tags:
-        value = struct.pack(f"<{len(starts)}I", *starts) if value is None else value
-        body += struct.pack("<HHI", tag, kind, count) + (struct.pack("<I", place[tag]) if len(value) > 4 else value.ljust(4, b"\0"))
-        if len(value) > 4:
-            extra += value + b"\0" * (len(value) % 2)
-    with open(path + ".tmp", "wb") as f:
-        f.write(struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<H", len(tags)) + body + b"\0\0\0\0" + extra + b"".join(strips))
-    os.replace(path + ".tmp", path)
+    down, across = -(-rows // side), -(-cols // side)
+    whole = np.full((down * side, across * side), nodata, dtype="<f4")
+    whole[:rows, :cols] = np.where(np.isnan(raster), nodata, raster)
+    tiles = [zlib.compress(whole[a * side : (a + 1) * side, b * side : (b + 1) * side].tobytes()) for a in range(down) for b in range(across)]
+    sizes = [len(t) for t in tiles]
+    short, long_, double, text = ("<H", 3), ("<I", 4), ("<d", 12), ("", 2)
+    fields = {
+        256: (long_, [cols]), 257: (long_, [rows]), 258: (short, [32]), 259: (short, [8]), 262: (short, [1]), 277: (short, [1]), 322: (long_, [side]), 323: (long_, [side]), 324: (long_, sizes), 325: (long_, sizes), 339: (short, [3]),
+        33550: (double, [res, res, 0]), 33922: (double, [0, 0, 0, x0, y0, 0]), 34735: (short, [1, 1, 0, 3, 1024, 0, 1, 1, 1025, 0, 1, 1, 3072, 0, 1, epsg]), 42113: (text, f"{nodata:g}\0".encode()),
+    }
+    pack = lambda kind, values: bytes(values) if kind is text else b"".join(struct.pack(kind[0], v) for v in values)
+    directory = 8 + 2 + 12 * len(fields) + 4
+    body = directory + sum((n + 1) // 2 * 2 for n in (len(pack(*f)) for f in fields.values()) if n > 4)
+    fields[324] = (long_, list(body + np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int)))
+    entries, extra = b"", b""
+    for tag, (kind, values) in fields.items():
+        value = pack(kind, values)
+        place = value.ljust(4, b"\0") if len(value) <= 4 else struct.pack("<I", directory + len(extra))
+        entries += struct.pack("<HHI", tag, kind[1], len(values)) + place
+        extra += value + b"\0" * (len(value) % 2) if len(value) > 4 else b""
+    return struct.pack("<2sHIH", b"II", 42, 8, len(fields)) + entries + b"\0\0\0\0" + extra + b"".join(tiles)
+
+
+def write_rasters(raster: DataFrame, layer: str, folder: str, res: float, epsg: int, origin: tuple[float, float] = (0.0, 0.0), tile: int = 1024) -> DataFrame:
+    """A GeoTIFF for each tile of each survey: (survey_id, ti, tj, path). Row i grows to the south.
+
+    Tiles are written where they are, one file a task; nothing of a raster reaches the driver.
+    """
+    tiles = raster.where(F.col(layer).isNotNull()).select("survey_id", "i", "j", F.col(layer).cast("double").alias("v"), F.floor(F.col("i") / tile).alias("ti"), F.floor(F.col("j") / tile).alias("tj"))
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        ti, tj, survey = int(pdf["ti"].iloc[0]), int(pdf["tj"].iloc[0]), str(pdf["survey_id"].iloc[0])
+        image = np.full((tile, tile), np.nan)
+        image[pdf["i"].to_numpy() - ti * tile, pdf["j"].to_numpy() - tj * tile] = pdf["v"].to_numpy()
+        os.makedirs(folder, exist_ok=True)
+        path = os.path.join(folder, f"{survey}_{ti}_{tj}.tif")
+        with open(f"{path}.{os.getpid()}", "wb") as f:
+            f.write(geotiff(image, origin[0] + tj * tile * res, origin[1] - ti * tile * res, res, epsg))
+        os.replace(f"{path}.{os.getpid()}", path)
+        return pd.DataFrame({"survey_id": [survey], "ti": [ti], "tj": [tj], "path": [path]})
+
+    return tiles.groupBy("survey_id", "ti", "tj").applyInPandas(work, "survey_id string, ti bigint, tj bigint, path string")
 
 
 def geojson_features(layer: DataFrame, lon: str, lat: str, properties: list[str], kind: str) -> DataFrame:

@@ -52,23 +52,56 @@ def test_receiver_log(spark):
     assert 40 < far.lat < 50 and 20 < far.lon < 40 and abs(far.h) < 20000
 
 
-def test_las_and_geotiff(tmp_path):
+def test_las(spark, tmp_path):
+    spark.dataSource.register(sinks.LasSink)
     rng = np.random.default_rng(0)
-    xyz, rgb = rng.uniform(0, 50, (100, 3)), rng.integers(0, 256, (100, 3))
-    path = str(tmp_path / "a.las")
-    sinks.write_las(path, xyz, rgb, np.full(100, 2))
-    data = open(path, "rb").read()
-    assert data[:4] == b"LASF" and len(data) == 227 + 100 * 34 and struct.unpack("<I", data[107:111])[0] == 100
+    xyz = rng.uniform(0, 50, (100, 3)) + [4_100_000.0, 0.0, 500_000.0]
+    rows = [(*map(float, p), k % 256, 2, 3, 6) for k, p in enumerate(xyz)]
+    df = spark.createDataFrame(rows, "x double, y double, z double, r int, g int, b int, cls int").coalesce(1)
+    df.write.format("lasfile").option("epsg", 32635).mode("append").save(str(tmp_path / "las"))
+    (name,) = [f for f in (tmp_path / "las").iterdir()]
+    data = name.read_bytes()
+    at, n = struct.unpack("<I", data[96:100])[0], struct.unpack("<I", data[107:111])[0]
+    assert data[:4] == b"LASF" and n == 100 and len(data) == at + 100 * 34 and b"LASF_Projection" in data[:at]
     scale, offset = np.array(struct.unpack("<3d", data[131:155])), np.array(struct.unpack("<3d", data[155:179]))
-    first = np.array(struct.unpack("<3i", data[227:239])) * scale + offset
-    assert np.abs(first - xyz[0]).max() <= 0.0006
+    points = np.frombuffer(data[at:], dtype=sinks.LAS_POINT)
+    assert np.abs(points["p"] * scale + offset - xyz).max() <= 0.0006
+    assert points["cls"].tolist() == [6] * 100 and points["rgb"][:, 0].tolist() == [k % 256 * 257 for k in range(100)]
+    ends = np.array(struct.unpack("<6d", data[179:227])).reshape(3, 2)
+    assert np.allclose(ends[:, 0], xyz.max(axis=0)) and np.allclose(ends[:, 1], xyz.min(axis=0))
+    df.limit(0).write.format("lasfile").mode("append").save(str(tmp_path / "none"))
+    assert not list((tmp_path / "none").iterdir())
+
+
+def tags_of(tif):
+    (count,) = struct.unpack("<H", tif[8:10])
+    out = {}
+    for k in range(count):
+        tag, kind, n = struct.unpack("<HHI", tif[10 + 12 * k : 18 + 12 * k])
+        form = {2: "s", 3: "H", 4: "I", 12: "d"}[kind]
+        size = struct.calcsize(f"<{n}{form}")
+        at = 18 + 12 * k if size <= 4 else struct.unpack("<I", tif[18 + 12 * k : 22 + 12 * k])[0]
+        out[tag] = struct.unpack(f"<{n}{form}", tif[at : at + size])
+    return out
+
+
+def test_geotiff(spark, tmp_path):
+    import zlib
+
+    rng = np.random.default_rng(0)
     raster = rng.normal(size=(37, 53)).astype(np.float32)
     raster[3, 4] = np.nan
-    sinks.write_geotiff(str(tmp_path / "a.tif"), raster, 1000.0, 2000.0, 0.5, 32635)
-    tif = open(tmp_path / "a.tif", "rb").read()
-    (count,) = struct.unpack("<H", tif[8:10])
-    tags = {struct.unpack("<H", tif[10 + 12 * k : 12 + 12 * k])[0]: tif[14 + 12 * k : 22 + 12 * k] for k in range(count)}
-    assert struct.unpack("<I", tags[256][4:])[0] == 53 and struct.unpack("<I", tags[257][4:])[0] == 37 and 34735 in tags
+    tif = sinks.geotiff(raster, 1000.0, 2000.0, 0.5, 32635, side=16)
+    tags = tags_of(tif)
+    assert tags[256] == (53,) and tags[257] == (37,) and tags[34735][-1] == 32635 and tags[33922][3:5] == (1000.0, 2000.0)
+    blocks = [np.frombuffer(zlib.decompress(tif[a : a + n]), dtype="<f4").reshape(16, 16) for a, n in zip(tags[324], tags[325])]
+    image = np.block([[blocks[4 * a + b] for b in range(4)] for a in range(3)])[:37, :53]
+    assert image[3, 4] == -9999 and np.array_equal(np.where(np.isnan(raster), -9999, raster), image)
+    cells = spark.createDataFrame([("s", i, j, float(raster[i, j])) for i in range(37) for j in range(53) if (i, j) != (3, 4)], "survey_id string, i bigint, j bigint, h double")
+    files = sinks.write_rasters(cells, "h", str(tmp_path / "tif"), 0.5, 32635, (1000.0, 2000.0), tile=32).collect()
+    assert len(files) == 4
+    corner = tags_of(open(next(f.path for f in files if (f.ti, f.tj) == (1, 1)), "rb").read())
+    assert corner[33922][3:5] == (1016.0, 1984.0)
 
 
 def test_geojson_and_cityjson(spark):

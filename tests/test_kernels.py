@@ -149,3 +149,35 @@ def test_floor_rank_quantile(spark):
     df = spark.createDataFrame([("s", float(k)) for k in (1, 2, 3, 4)], "survey_id string, y double")
     got = grid.ranked(df, ["survey_id"], "y").agg(grid.at_rank("y", 0.9).alias("q")).first()["q"]
     assert got == 3.0
+
+
+def test_ground_mode_finds_planted_ground(spark):
+    from terravane.operators.fitting import ground_mode
+
+    rng = np.random.default_rng(4)
+    for level, share in ((12.0, 0.6), (-3.0, 0.9), (250.0, 0.45)):
+        n = 4000
+        ground = rng.normal(level, 0.05, int(n * share))
+        above = level + rng.uniform(2, 25, n - len(ground))
+        heights = np.concatenate([ground, above, [level - 4000.0, level + 9e5, np.nan]])
+        df = spark.createDataFrame([(float(h),) for h in heights] + [(None,)], "h double")
+        assert abs(ground_mode(df, "h") - level) < 0.05
+    assert ground_mode(df.limit(0), "h") is None and ground_mode(spark.createDataFrame([(5.0,)] * 3, "h double"), "h") == 5.0
+
+
+def test_planes_of_large_objects_and_degenerate_points():
+    rng = np.random.default_rng(6)
+    x, z = rng.uniform(0, 100, (2, 200_000))
+    y = 0.1 * x + 3 + rng.normal(0, 0.01, len(x))
+    y[: len(x) // 2] = rng.uniform(0, 50, len(x) // 2)
+    fit, near = kernels.consensus_plane(x, z, y, 0.05)
+    assert np.allclose(fit, [0.1, 0, 3], atol=0.01) and near[len(x) // 2 :].mean() > 0.99
+    assert kernels.consensus_plane(np.arange(5.0), np.arange(5.0), np.arange(5.0), 0.1) is None
+    assert kernels.consensus_plane(x[:2], z[:2], y[:2], 0.1) is None
+    fit, sigma = kernels.robust_plane(x[:3], z[:3], 2 * x[:3])
+    assert np.allclose(fit, [2, 0, 0], atol=1e-6) and sigma < 1e-6
+
+
+def test_labels_by_edges():
+    grid = np.eye(4, dtype=bool)
+    assert kernels.label(grid).max() == 1 and kernels.label(grid, corners=False).max() == 4
