@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terravane.operators import kernels as K
+from terravane.operators.grid import quantile
 
 
 def similarity_fit(pairs: DataFrame, source: list[str], target: list[str], scaled: bool = True) -> tuple[float, np.ndarray, np.ndarray]:
@@ -44,7 +45,8 @@ def trimmed_fit(pairs: DataFrame, source: list[str], target: list[str], floor_m:
         moved = apply_fit(pairs, source, fit, [f"__f{i}" for i in range(len(target))])
         miss = F.sqrt(sum((F.pow(F.col(f"__f{i}") - F.col(t), 2) for i, t in enumerate(target)), F.lit(0.0)))
         moved = moved.withColumn("__miss", miss)
-        limit = max(floor_m, factor * (moved.agg(F.percentile("__miss", F.lit(0.5))).first()[0] or 0.0))
+        middle = quantile(moved.withColumn("__all", F.lit(1)), ["__all"], "__miss", 0.5, "m").first()
+        limit = max(floor_m, factor * (middle["m"] if middle else 0.0))
         kept = moved.where(F.col("__miss") <= limit)
         count = kept.count()
         if count == n or count < 3:

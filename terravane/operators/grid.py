@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terravane.session import cut_lineage
+
 CELL = ["survey_id", "i", "j"]
 
 
@@ -107,11 +109,13 @@ def slope_degrees(raster: DataFrame, layer: str, res: float, name: str = "slope"
 def plane_rms(raster: DataFrame, layer: str, r: int = 2, name: str = "rough") -> DataFrame:
     """Residual of the least-squares plane of each square, from moments; null below six cells.
 
-    Moments about the cell itself: offsets are differences of the sums of products with i and j.
+    Moments are taken about the raster's own corner and its layer's mean, so that far coordinates lose no digits.
     """
     w = F.when(F.col(layer).isNotNull(), 1.0)
-    base = raster.withColumn("__w", w)
-    value, i, j = F.col(layer), F.col("i").cast("double"), F.col("j").cast("double")
+    corner = raster.groupBy("survey_id").agg(F.min("i").alias("__i0"), F.min("j").alias("__j0"), F.avg(layer).alias("__l0"))
+    base = raster.join(corner, "survey_id").withColumn("__w", w)
+    value = F.col(layer) - F.col("__l0")
+    i, j = (F.col("i") - F.col("__i0")).cast("double"), (F.col("j") - F.col("__j0")).cast("double")
     moments = {"w": F.col("__w"), "z": value, "zz": value * value, "i": w * i, "j": w * j, "ii": w * i * i, "jj": w * j * j, "ij": w * i * j, "iz": value * i, "jz": value * j}
     for k, expression in moments.items():
         base = base.withColumn(f"__m{k}", expression)
@@ -124,7 +128,7 @@ def plane_rms(raster: DataFrame, layer: str, r: int = 2, name: str = "rough") ->
     bi, bj = (ciz * cjj - cjz * cij) / F.nullif(det, F.lit(0.0)), (cjz * cii - ciz * cij) / F.nullif(det, F.lit(0.0))
     rss = F.greatest(F.lit(0.0), czz - bi * ciz - bj * cjz)
     rms = F.when((n >= 6) & (F.abs(det) > 1e-9), F.sqrt(rss / (n - 3)))
-    return out.withColumn(name, rms).drop("__w", *[f"__m{k}" for k in moments], *[f"__s{k}" for k in moments])
+    return out.withColumn(name, rms).drop("__w", "__i0", "__j0", "__l0", *[f"__m{k}" for k in moments], *[f"__s{k}" for k in moments])
 
 
 def colour_indices(raster: DataFrame) -> DataFrame:
@@ -236,10 +240,106 @@ def within(left: DataFrame, right: DataFrame, radius: float, keep_self: bool = F
     return (pairs if keep_self else pairs.where(F.col("pid") != F.col("o_pid"))).drop("bi", "bj")
 
 
-def nearest(left: DataFrame, right: DataFrame, radius: float, k: int = 1, keep_self: bool = False) -> DataFrame:
-    """The k nearest points of the other side within a radius, ranked from 1; ties by pid."""
+def crowded(points: DataFrame, radius: float, least: int) -> DataFrame:
+    """(survey_id, x, z) of each point with at least ``least`` points, itself included, within the radius.
+
+    A point whose small cell (edge radius / sqrt 2) holds that many is crowded without any look around; only the
+    points of sparser cells meet the points around them.
+    """
+    edge = radius / math.sqrt(2)
+    p = points.select("survey_id", "x", "z").withColumns({"ci": F.floor(F.col("z") / edge), "cj": F.floor(F.col("x") / edge)})
+    cell = ["survey_id", "ci", "cj"]
+    counts = p.groupBy(*cell).agg(F.count("*").alias("n"))
+    placed = p.join(counts, cell)
+    full = placed.where(F.col("n") >= least).select("survey_id", "x", "z")
+    asked = placed.where(F.col("n") < least).withColumn("pid", F.monotonically_increasing_id())
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-2, 3) for b in range(-2, 3)])
+    moved = asked.withColumn("o", F.explode(around)).select("survey_id", "pid", "x", "z", (F.col("ci") + F.col("o.a")).alias("ci"), (F.col("cj") + F.col("o.b")).alias("cj"))
+    others = p.select(*cell, F.col("x").alias("ox"), F.col("z").alias("oz"))
+    near = F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("z") - F.col("oz"), 2)) <= radius
+    met = moved.join(others, cell).where(near).groupBy("survey_id", "pid", "x", "z").agg(F.count("*").alias("n"))
+    return full.unionByName(met.where(F.col("n") >= least).select("survey_id", "x", "z"))
+
+
+def nearest(left: DataFrame, right: DataFrame, radius: float, k: int = 1, keep_self: bool = False, key: list[str] | None = None) -> DataFrame:
+    """The k nearest points of the other side within a radius, ranked from 1; ties by pid.
+
+    ``key`` are the columns that tell the left points of a survey apart, pid if not given.
+    """
     pairs = within(left, right, radius, keep_self)
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("survey_id", "pid").orderBy("distance", "o_pid"))).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("survey_id", *(key or ["pid"])).orderBy("distance", "o_pid"))).where(F.col("rank") <= k)
+
+
+def linked(points: DataFrame, distance: float) -> DataFrame:
+    """(survey_id, pid, label): clusters of points with links of at most ``distance``; the label is the smallest pid.
+
+    Points of one small cell are linked by themselves, so only pairs across cells are tested, and a pair of
+    cells is one edge whatever the number of its points.
+    """
+    edge = distance / math.sqrt(2)
+    p = points.select("survey_id", "pid", "x", "z").withColumns({"ci": F.floor(F.col("z") / edge), "cj": F.floor(F.col("x") / edge)})
+    cell = p.groupBy("survey_id", "ci", "cj").agg(F.min("pid").alias("node"))
+    p = p.join(cell, ["survey_id", "ci", "cj"])
+    near = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if (a, b) > (0, 0)]
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in near])
+    other = p.withColumn("o", F.explode(around)).select("survey_id", (F.col("ci") + F.col("o.a")).alias("ci"), (F.col("cj") + F.col("o.b")).alias("cj"), F.col("node").alias("b"), F.col("x").alias("ox"), F.col("z").alias("oz"))
+    close = F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("z") - F.col("oz"), 2) <= distance * distance
+    edges = p.join(other, ["survey_id", "ci", "cj"]).where(close).select("survey_id", F.col("node").alias("a"), "b").distinct()
+    from terravane.operators.neighbour import merge_labels
+
+    merged = merge_labels(edges)
+    if merged is None:
+        return p.select("survey_id", "pid", F.col("node").alias("label"))
+    return p.join(merged.withColumnRenamed("label", "node"), ["survey_id", "node"], "left").select("survey_id", "pid", F.coalesce("root", "node").alias("label"))
+
+
+def quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str, accuracy: int = 10_000) -> DataFrame:
+    """(keys, name): the exact interpolated quantile of each group, of groups of any size.
+
+    A mergeable sketch gives two values that enclose the rank; a second pass counts what lies below them
+    and keeps, by value with its count, only what lies between, some hundredths of a per cent.
+    """
+    df = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    slack = 3.0 / accuracy  # the sketch is off by 1 / accuracy at most, and the next value must be in
+    ends = df.groupBy(*keys).agg(F.percentile_approx("__v", [max(0.0, q - slack), min(1.0, q + slack)], accuracy).alias("__e"), F.count("*").alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
+    few = F.col("__n") <= accuracy
+    low = F.when(few | F.lit(q <= slack), F.col("__min")).otherwise(F.col("__e")[0])
+    high = F.when(few | F.lit(q >= 1 - slack), F.col("__max")).otherwise(F.col("__e")[1])
+    ends = ends.select(*keys, low.alias("__low"), high.alias("__high"), ((F.col("__n") - 1) * F.lit(float(q))).alias("__rank"))
+    joined = df.join(ends, keys)
+    place = F.when(F.col("__v") < F.col("__low"), F.lit(None)).otherwise(F.col("__v"))
+    kept = joined.where(F.col("__v") <= F.col("__high")).groupBy(*keys, "__rank", place.alias("__v")).agg(F.count("*").alias("__c"))
+    pairs = kept.groupBy(*keys, "__rank").agg(F.sum(F.when(F.col("__v").isNull(), F.col("__c")).otherwise(0)).alias("__below"), F.sort_array(F.collect_list(F.when(F.col("__v").isNotNull(), F.struct("__v", "__c")))).alias("__p"))
+    element = lambda k: F.aggregate("__p", F.struct((k - F.col("__below")).cast("long").alias("left"), F.lit(None).cast("double").alias("v")), lambda a, x: F.struct((a["left"] - x["__c"]).alias("left"), F.coalesce(a["v"], F.when(a["left"] < x["__c"], x["__v"])).alias("v")), lambda a: a["v"])
+    first, share = F.floor("__rank"), F.col("__rank") - F.floor("__rank")
+    a = element(first)
+    return pairs.select(*keys, F.when(share == 0, a).otherwise((1 - share) * a + share * element(first + 1)).alias(name))
+
+
+def quantiles(df: DataFrame, keys: list[str], **wanted: tuple[str, float]) -> DataFrame:
+    """(keys, names...): several quantiles, name=(column, share), null where a group has no value."""
+    out = df.select(*keys).distinct()
+    for name, (value, q) in wanted.items():
+        out = out.join(quantile(df, keys, value, q, name), keys, "left")
+    return out
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Row numbers from 1 in an order over all rows: range partitions, their sizes, and numbers inside each.
+
+    The partitioned rows are checkpointed, so that the numbers rest on one partitioning; the sizes of the
+    partitions are all that reaches the driver.
+    """
+    parts = cut_lineage(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = {r["__part"]: r["count"] for r in parts.groupBy("__part").count().collect()}
+    before, total = {}, 0
+    for k in sorted(sizes):
+        before[k] = total
+        total += sizes[k]
+    if not sizes:
+        return parts.drop("__part").withColumn(name, F.lit(0).cast("long"))
+    offset = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("__part"))
+    return parts.withColumn(name, (F.row_number().over(Window.partitionBy("__part").orderBy(*order)) + offset).cast("long")).drop("__part")
 
 
 def plane_noise(points: DataFrame, res: float, least: int = 6) -> DataFrame:
@@ -252,13 +352,13 @@ def plane_noise(points: DataFrame, res: float, least: int = 6) -> DataFrame:
     bx, bz = (F.col("cxy") * F.col("czz") - F.col("czy") * F.col("cxz")) / det, (F.col("czy") * F.col("cxx") - F.col("cxy") * F.col("cxz")) / det
     rss = F.greatest(F.lit(0.0), F.col("cyy") - bx * F.col("cxy") - bz * F.col("czy")) * F.col("n")
     sigma = m.where(det > 1e-9).withColumn("sigma", F.sqrt(rss / (F.col("n") - 3)))
-    return sigma.groupBy("survey_id").agg(F.percentile("sigma", F.lit(0.5)).alias("sigma"), F.count("*").alias("cells"))
+    return quantile(sigma, ["survey_id"], "sigma", 0.5, "sigma").join(sigma.groupBy("survey_id").agg(F.count("*").alias("cells")), "survey_id")
 
 
 def mad_sigma(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """1.4826 times the median absolute deviation of each group; two aggregations, no window."""
-    mid = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("__mid"))
-    return df.join(mid, keys).groupBy(*keys).agg((1.4826 * F.percentile(F.abs(F.col(value) - F.col("__mid")), F.lit(0.5))).alias("sigma"))
+    """1.4826 times the median absolute deviation of each group."""
+    off = df.join(quantile(df, keys, value, 0.5, "__mid"), keys).withColumn("__off", F.abs(F.col(value) - F.col("__mid")))
+    return quantile(off, keys, "__off", 0.5, "__mad").select(*keys, (1.4826 * F.col("__mad")).alias("sigma"))
 
 
 def geomspace_radii(reach_m: float, res: float, steps: int = 9) -> list[int]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terravane.functions.geodesy import haversine
 from terravane.operators.blocks import BLOCK, HOME, with_blocks
+from terravane.operators.grid import quantiles
 from terravane.operators.sequences import with_context
 from terravane.session import cut_lineage
 
@@ -199,10 +200,9 @@ def position_quality(log: DataFrame) -> DataFrame:
 
 def takeoff_elevation(log: DataFrame) -> DataFrame:
     """Elevation of the take-off point: median of absolute minus relative altitude, where it is steady."""
-    d = F.col("abs_m") - F.col("rel")
-    stats = log.where("abs_m IS NOT NULL AND rel IS NOT NULL").groupBy("survey_id").agg(
-        F.count("*").alias("n"), F.percentile(d, F.lit(0.5)).alias("mid"), (F.percentile(d, F.lit(0.9)) - F.percentile(d, F.lit(0.1))).alias("spread")
-    )
+    both = log.where("abs_m IS NOT NULL AND rel IS NOT NULL").withColumn("d", F.col("abs_m") - F.col("rel"))
+    marks = quantiles(both, ["survey_id"], mid=("d", 0.5), low=("d", 0.1), high=("d", 0.9))
+    stats = both.groupBy("survey_id").agg(F.count("*").alias("n")).join(marks, "survey_id").withColumn("spread", F.col("high") - F.col("low"))
     steady = (F.col("n") >= 5) & (F.abs("mid") > 0.5) & (F.col("spread") < 5)
     return stats.withColumn("takeoff_m", F.when(steady, F.col("mid")))
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.plans.geodesy import CHECK, checks
-from terravane.plans.rasters import PAIR, day_pair
-from terravane.session import read
+from terravane.plans.rasters import PAIR, REACH, day_pair
+from terravane.plans.surveys import linked_sql
+from terravane.session import cut_lineage, read
 
 QUERIES, ORACLE = {}, {}
 
@@ -46,13 +47,16 @@ def j10(spark: SparkSession, d: str) -> DataFrame:
     return day_pair(spark, d).select("i", "j", F.round(alpha, 5).alias("alpha"), F.when(F.col("gain") >= F.col("loss"), "gain").otherwise("loss").alias("kind"))
 
 
-@query("j08_change_clusters", f"""{PAIR.replace('WITH ', 'WITH RECURSIVE ', 1)}, mask AS (SELECT DISTINCT 'gain' AS survey_id, i // 4 AS i, j // 4 AS j FROM p WHERE gain > 1.0), reach AS (SELECT survey_id, i, j, i AS oi, j AS oj FROM mask UNION SELECT r.survey_id, r.i, r.j, o.i, o.j FROM reach r JOIN mask o ON abs(o.i - r.oi) <= 1 AND abs(o.j - r.oj) <= 1), lab AS (SELECT i, j, min(oi * 2147483648 + oj) AS label FROM reach GROUP BY i, j) SELECT CAST(label AS BIGINT) AS label, count(*) AS members FROM lab GROUP BY label HAVING count(*) >= 3""")
+@query("j08_change_clusters", f"""{PAIR.replace('WITH ', 'WITH RECURSIVE ', 1)}, mask AS (SELECT CASE WHEN gain > 0.6 THEN 'gain' ELSE 'loss' END AS survey_id, i, j FROM p WHERE gain > 0.6 OR loss > 0.6), {REACH}, alerts AS (SELECT survey_id, CAST(label AS BIGINT) AS pid, (avg(j) + 0.5) * 2.5 AS x, (avg(i) + 0.5) * 2.5 AS z FROM lab GROUP BY survey_id, label HAVING count(*) * 6.25 >= 12), {linked_sql(40.0)}""")
 def j08(spark: SparkSession, d: str) -> DataFrame:
-    """Gains in neighbouring 10 m blocks, linked to clusters of at least three."""
+    """Changes whose centres are linked within 40 m, in clusters of at least three."""
+    from terravane.operators import grid as G
     from terravane.operators.neighbour import components
 
-    blocks = day_pair(spark, d).where("gain > 1.0").select(F.lit("gain").alias("survey_id"), F.floor(F.col("i") / 4).alias("i"), F.floor(F.col("j") / 4).alias("j")).distinct()
-    return components(blocks).groupBy("label").agg(F.count("*").alias("members")).where("members >= 3")
+    kind = F.when(F.col("gain") > 0.6, "gain").otherwise("loss")
+    changed = day_pair(spark, d).where("gain > 0.6 OR loss > 0.6").select(kind.alias("survey_id"), "i", "j")
+    o = components(changed).groupBy("survey_id", F.col("label").alias("pid")).agg(F.count("*").alias("n"), ((F.avg("j") + 0.5) * 2.5).alias("x"), ((F.avg("i") + 0.5) * 2.5).alias("z")).where(F.col("n") * 6.25 >= 12)
+    return G.linked(cut_lineage(o), 40.0).groupBy("survey_id", "label").agg(F.count("*").alias("members")).where("members >= 3")
 
 
 @query("k04_check_points_edited", f"WITH {CHECK} SELECT survey, id, round(dh, 6) AS dh FROM chk WHERE id % 10 <> 3 UNION ALL SELECT 99 AS survey, 1000 AS id, 0.25 AS dh")

@@ -58,17 +58,17 @@ def f02(spark: SparkSession, d: str) -> DataFrame:
     return N.dilate(mask(spark, d), 3)
 
 
-@query("f03_distance_transform", f"""{C} SELECT c.survey_id, c.i, c.j, round(sqrt(min(pow(o.i - c.i, 2) + pow(o.j - c.j, 2))), 6) AS distance FROM cells c LEFT JOIN mask o ON o.survey_id = c.survey_id AND pow(o.i - c.i, 2) + pow(o.j - c.j, 2) <= 36 GROUP BY ALL""")
+@query("f03_distance_transform", f"""{C} SELECT c.survey_id, c.i, c.j, round(sqrt(min(pow(o.i - c.i, 2) + pow(o.j - c.j, 2))), 6) AS distance FROM cells c LEFT JOIN mask o ON o.survey_id = c.survey_id GROUP BY ALL""")
 def f03(spark: SparkSession, d: str) -> DataFrame:
     c = classes(spark, d).select(*CELL)
-    return N.distance_to(c, mask(spark, d), 6).select(*CELL, F.round("distance", 6).alias("distance"))
+    return N.distance_to(c, mask(spark, d)).select(*CELL, F.round("distance", 6).alias("distance"))
 
 
-@query("f05_nearest_fill", f"""WITH {dense_sql(RES)}, k AS (SELECT survey_id, i, j, CASE WHEN (i + j) % 3 = 0 THEN zmed END AS v FROM grid), n AS (SELECT c.survey_id, c.i, c.j, min(row(CAST(pow(o.i - c.i, 2) + pow(o.j - c.j, 2) AS BIGINT), o.i, o.j, o.v)) AS m FROM k c JOIN k o ON o.survey_id = c.survey_id AND o.v IS NOT NULL AND pow(o.i - c.i, 2) + pow(o.j - c.j, 2) <= 9 GROUP BY ALL)
+@query("f05_nearest_fill", f"""WITH {dense_sql(RES)}, k AS (SELECT survey_id, i, j, CASE WHEN (i + j) % 3 = 0 THEN zmed END AS v FROM grid), n AS (SELECT c.survey_id, c.i, c.j, min(row(CAST(pow(o.i - c.i, 2) + pow(o.j - c.j, 2) AS BIGINT), o.i, o.j, o.v)) AS m FROM k c JOIN k o ON o.survey_id = c.survey_id AND o.v IS NOT NULL GROUP BY ALL)
     SELECT k.survey_id, k.i, k.j, round(coalesce(k.v, m[4]), 6) AS filled FROM k LEFT JOIN n ON n.survey_id = k.survey_id AND n.i = k.i AND n.j = k.j""")
 def f05(spark: SparkSession, d: str) -> DataFrame:
     thinned = raster(spark, d).select(*CELL, F.when((F.col("i") + F.col("j")) % 3 == 0, F.col("zmed")).alias("v"))
-    return N.nearest_fill(thinned, "v", 3, "filled").select(*CELL, F.round("filled", 6).alias("filled"))
+    return N.nearest_fill(thinned, "v", "filled").select(*CELL, F.round("filled", 6).alias("filled"))
 
 
 @query("e29_masked_smoothing", f"""WITH {dense_sql(RES)} SELECT c.survey_id, c.i, c.j, round(sum(o.zmed * exp(-(pow(o.i - c.i, 2) + pow(o.j - c.j, 2)) / 2.0)) / sum(exp(-(pow(o.i - c.i, 2) + pow(o.j - c.j, 2)) / 2.0)), 5) AS smooth
@@ -95,7 +95,9 @@ def f09(spark: SparkSession, d: str) -> DataFrame:
     return N.grow(high(spark, d, 9.6), high(spark, d))
 
 
-@query("f10_fill_holes")
+@query("f10_fill_holes", f"""WITH RECURSIVE {cells_sql(RES)}, {CLASS_SQL}, mask AS (SELECT survey_id, i, j FROM cls WHERE h > 8.5), gap AS (SELECT survey_id, i, j FROM cls ANTI JOIN mask USING (survey_id, i, j)), ends AS (SELECT survey_id, min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1 FROM cls GROUP BY survey_id),
+    open_ AS (SELECT g.survey_id, i, j FROM gap g JOIN ends e ON e.survey_id = g.survey_id WHERE i IN (i0, i1) OR j IN (j0, j1) UNION SELECT g.survey_id, g.i, g.j FROM open_ o JOIN gap g ON g.survey_id = o.survey_id AND abs(g.i - o.i) + abs(g.j - o.j) = 1)
+    SELECT survey_id, i, j FROM cls ANTI JOIN open_ USING (survey_id, i, j)""")
 def f10(spark: SparkSession, d: str) -> DataFrame:
     return N.fill_holes(high(spark, d, 8.5), classes(spark, d))
 
@@ -172,26 +174,38 @@ def g19(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy("survey_id", size.alias("size")).agg(F.count("*").alias("n"), F.round(F.sum("area"), 4).alias("area_m2"), F.round(F.max("area"), 4).alias("top_m2"))
 
 
-OBSERVERS = "obs AS (SELECT s.survey_id, CAST(k AS BIGINT) AS observer, 20.0 + 30 * k AS x, 35.0 + 20 * k AS z, 16.0 AS eye FROM (SELECT unnest(['day1', 'day2']) AS survey_id) s, (SELECT unnest([0, 1]) AS k))"
-FAN = f"""{OBSERVERS}, fan AS (SELECT o.*, ray, step, step * 2.5 AS d, CAST(floor((z + sin(ray * (2 * pi() / 72)) * (step * 2.5)) / 2.5) AS BIGINT) AS i, CAST(floor((x + cos(ray * (2 * pi() / 72)) * (step * 2.5)) / 2.5) AS BIGINT) AS j FROM obs o, (SELECT unnest(range(0, 72)) AS ray), (SELECT unnest(range(1, 17)) AS step)),
+SIGHT_M = 600.0
+RAYS = N.ray_count(SIGHT_M, RES)
+#: CTEs over cells and cls: observers above structures, rays, what is seen along them, small gaps closed.
+FAN = f"""mask AS (SELECT survey_id, i, j FROM cls WHERE h > 9.35), {REACH},
+    obs AS (SELECT lab.survey_id, CAST(label AS BIGINT) AS observer, (avg(lab.j) + 0.5) * 2.5 AS x, (avg(lab.i) + 0.5) * 2.5 AS z, max(zhi) + 0.3 AS eye FROM lab JOIN cls USING (survey_id, i, j) GROUP BY lab.survey_id, label HAVING count(*) * 6.25 >= 15),
+    fan AS (SELECT o.*, ray, step, step * 2.5 AS d, CAST(floor((z + sin((ray + 0.5::DOUBLE) * (2 * pi() / {RAYS})) * (step * 2.5::DOUBLE)) / 2.5::DOUBLE) AS BIGINT) AS i, CAST(floor((x + cos((ray + 0.5::DOUBLE) * (2 * pi() / {RAYS})) * (step * 2.5::DOUBLE)) / 2.5::DOUBLE) AS BIGINT) AS j FROM obs o, (SELECT unnest(range(0, {RAYS})) AS ray), (SELECT unnest(range(1, 60)) AS step)),
     los AS (SELECT f.*, (zmed - eye) / d AS sg, (zmed + 1.7 - eye) / d AS st FROM fan f JOIN cells c ON c.survey_id = f.survey_id AND c.i = f.i AND c.j = f.j),
-    vis AS (SELECT survey_id, observer, i, j, min(d) AS distance FROM (SELECT *, max(sg) OVER (PARTITION BY survey_id, observer, ray ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM los) WHERE st >= coalesce(m, -1e9) GROUP BY ALL)"""
+    vis0 AS (SELECT DISTINCT survey_id, observer, i, j FROM (SELECT *, max(sg) OVER (PARTITION BY survey_id, observer, ray ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM los) WHERE st >= coalesce(m, -1e9)),
+    wide AS (SELECT DISTINCT survey_id, observer, i + a AS i, j + b AS j FROM vis0, (SELECT unnest([-1, 0, 1]) a), (SELECT unnest([-1, 0, 1]) b)),
+    closed AS (SELECT m.survey_id, m.observer, m.i, m.j FROM wide m JOIN (SELECT survey_id, observer, i + a AS i, j + b AS j FROM wide, (SELECT unnest([-1, 0, 1]) a), (SELECT unnest([-1, 0, 1]) b)) o USING (survey_id, observer, i, j) GROUP BY ALL HAVING count(*) = 9),
+    vis AS (SELECT v.survey_id, v.observer, v.i, v.j, sqrt(pow((v.j + 0.5) * 2.5 - x, 2) + pow((v.i + 0.5) * 2.5 - z, 2)) AS distance FROM (FROM vis0 UNION FROM closed) v JOIN cells c ON c.survey_id = v.survey_id AND c.i = v.i AND c.j = v.j JOIN obs o ON o.survey_id = v.survey_id AND o.observer = v.observer)"""
+SIGHT = f"WITH RECURSIVE {cells_sql(RES)}, {CLASS_SQL}, {FAN}"
 
 
-def observers(spark: SparkSession) -> DataFrame:
-    return spark.sql("SELECT s.survey_id, k AS observer, 20.0D + 30 * k AS x, 35.0D + 20 * k AS z, 16.0D AS eye FROM (SELECT explode(array('day1', 'day2')) AS survey_id) s, (SELECT explode(array(0L, 1L)) AS k)")
+def observers(spark: SparkSession, d: str) -> DataFrame:
+    """One observer above each structure of at least 15 square metres."""
+    c = classes(spark, d).select(*CELL, "zhi")
+    o = N.components(high(spark, d)).join(c, CELL).groupBy("survey_id", "label").agg(F.count("*").alias("n"), F.avg("i").alias("ci"), F.avg("j").alias("cj"), F.max("zhi").alias("top")).where(F.col("n") * 6.25 >= 15)
+    return o.select("survey_id", F.col("label").alias("observer"), ((F.col("cj") + 0.5) * RES).alias("x"), ((F.col("ci") + 0.5) * RES).alias("z"), (F.col("top") + 0.3).alias("eye"))
 
 
 def seen(spark: SparkSession, d: str) -> DataFrame:
-    return N.viewshed(G.cells(points(spark, d), RES), "zmed", observers(spark), RES, 40.0, rays=72)
+    return N.viewshed(G.cells(points(spark, d), RES), "zmed", observers(spark, d), RES, SIGHT_M)
 
 
-@query("f22_viewshed", f"WITH {cells_sql(RES)}, {FAN} SELECT survey_id, observer, i, j, distance FROM vis")
+@query("f22_viewshed", f"{SIGHT} SELECT survey_id, observer, i, j, round(distance, 6) AS distance FROM vis")
 def f22(spark: SparkSession, d: str) -> DataFrame:
-    return seen(spark, d)
+    """Cells that each observer above a structure sees."""
+    return seen(spark, d).withColumn("distance", F.round("distance", 6))
 
 
-@query("i03_exposure_map", f"WITH {cells_sql(RES)}, {FAN} SELECT survey_id, i, j, round(1 - exp(sum(ln(1 - 0.95 * pow(2.0, -pow(distance / 350.0, 2))))), 6) AS exposure, count(*) AS observers FROM vis GROUP BY ALL")
+@query("i03_exposure_map", f"{SIGHT} SELECT survey_id, i, j, round(1 - exp(sum(ln(1 - 0.95 * pow(2.0, -pow(distance / 350.0, 2))))), 6) AS exposure, count(*) AS observers FROM vis GROUP BY ALL")
 def i03(spark: SparkSession, d: str) -> DataFrame:
     return N.exposure(seen(spark, d)).select(*CELL, F.round("exposure", 6).alias("exposure"), "observers")
 
@@ -204,20 +218,16 @@ def i02(spark: SparkSession, d: str) -> DataFrame:
     return classes(spark, d).join(near, CELL, "left").select(*CELL, factor.cast("double").alias("factor"))
 
 
-@query("i05_ray_enclosure", f"""{C}, site AS (SELECT survey_id, i, j FROM cells WHERE i % 8 = 4 AND j % 8 = 4), fan AS (SELECT s.*, ray, step, CAST(floor(i + 0.5 + sin(ray * (2 * pi() / 16)) * step) AS BIGINT) AS ti, CAST(floor(j + 0.5 + cos(ray * (2 * pi() / 16)) * step) AS BIGINT) AS tj FROM site s, (SELECT unnest(range(0, 16)) AS ray), (SELECT unnest(range(2, 7)) AS step)),
-    hit AS (SELECT f.survey_id, f.i, f.j, ray, min(step) AS first FROM fan f JOIN mask m ON m.survey_id = f.survey_id AND m.i = ti AND m.j = tj GROUP BY ALL)
-    SELECT s.survey_id, s.i, s.j, round(count(ray) / 16.0, 6) AS enclosure, CAST(count(*) FILTER (WHERE ray < 4) AS BIGINT) AS q1, round(avg(first), 6) AS first FROM site s LEFT JOIN hit h ON h.survey_id = s.survey_id AND h.i = s.i AND h.j = s.j GROUP BY ALL""")
+@query("i05_ray_enclosure", f"""{C}, fan AS (SELECT s.survey_id, s.i, s.j, ray, step, CAST(floor(i + 0.5::DOUBLE + sin((ray + 0.5::DOUBLE) * (2 * pi() / 36)) * step) AS BIGINT) AS ti, CAST(floor(j + 0.5::DOUBLE + cos((ray + 0.5::DOUBLE) * (2 * pi() / 36)) * step) AS BIGINT) AS tj FROM cells s, (SELECT unnest(range(0, 36)) AS ray), (SELECT unnest(range(2, 21)) AS step)),
+    hit AS (SELECT f.survey_id, f.i, f.j, ray, min(step) AS first FROM fan f JOIN cls m ON m.survey_id = f.survey_id AND m.i = ti AND m.j = tj AND m.cls IN ('tree', 'building') GROUP BY ALL),
+    s AS (SELECT s.survey_id, s.i, s.j, count(ray) / 36.0 AS enclosure, {', '.join(f'count(*) FILTER (WHERE ray >= {9 * k} AND ray < {9 * k + 9}) / 9.0 AS q{k + 1}' for k in range(4))}, avg(first) * 2.5 AS first_m FROM cells s LEFT JOIN hit h ON h.survey_id = s.survey_id AND h.i = s.i AND h.j = s.j GROUP BY ALL)
+    SELECT survey_id, i, j, round(enclosure, 6) AS enclosure, {', '.join(f'round(q{k}, 6) AS q{k}' for k in (1, 2, 3, 4))}, round(least(q1, q2, q3, q4), 6) AS weakest, round(first_m, 6) AS first_m FROM s""")
 def i05(spark: SparkSession, d: str) -> DataFrame:
-    """How much of the horizon around a site is closed by cover, by quadrant."""
-    import math
-
-    sites = classes(spark, d).where("i % 8 = 4 AND j % 8 = 4").select(*CELL)
-    fan = sites.withColumn("ray", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumn("step", F.explode(F.sequence(F.lit(2), F.lit(6))))
-    angle = F.col("ray") * (2 * math.pi / 16)
-    fan = fan.withColumn("ti", F.floor(F.col("i") + 0.5 + F.sin(angle) * F.col("step"))).withColumn("tj", F.floor(F.col("j") + 0.5 + F.cos(angle) * F.col("step")))
-    cover = mask(spark, d).select("survey_id", F.col("i").alias("ti"), F.col("j").alias("tj"))
-    hit = fan.join(cover, ["survey_id", "ti", "tj"]).groupBy(*CELL, "ray").agg(F.min("step").alias("first"))
-    return sites.join(hit, CELL, "left").groupBy(*CELL).agg(F.round(F.count("ray") / 16.0, 6).alias("enclosure"), F.count_if(F.col("ray") < 4).alias("q1"), F.round(F.avg("first"), 6).alias("first"))
+    """How much of the horizon around each cell is closed by trees or structures from 5 to 50 m, by quadrant."""
+    c = classes(spark, d)
+    found = N.enclosure(c.select(*CELL), c.where("cls IN ('tree', 'building')").select(*CELL), 2, 20)
+    quarters = [f"q{k}" for k in (1, 2, 3, 4)]
+    return found.select(*CELL, F.round("enclosure", 6).alias("enclosure"), *[F.round(q, 6).alias(q) for q in quarters], F.round(F.least(*quarters), 6).alias("weakest"), F.round(F.col("first") * RES, 6).alias("first_m"))
 
 
 @query("i07_topographic_position", f"WITH {dense_sql(RES)} SELECT c.survey_id, c.i, c.j, round(c.zlo - {square_sql('avg(o.zlo)', 6)}, 5) AS tpi FROM grid c WHERE c.zlo IS NOT NULL")
@@ -253,12 +263,12 @@ def i09(spark: SparkSession, d: str) -> DataFrame:
     return e.select("survey_id", F.col("ai").alias("i"), F.col("aj").alias("j"), "di", "dj", F.round(cost, 4).alias("cost"))
 
 
-@query("i10_snap_to_passable", f"""WITH {cells_sql(RES)}, {CLASS_SQL}, p AS (SELECT survey_id, i, j FROM cls WHERE cls <> 'building'), q AS (SELECT survey_id, i, j FROM cls WHERE cls = 'building' AND (i + j) % 5 = 0)
-    SELECT q.survey_id, q.i, q.j, round(sqrt(min(pow(p.i - q.i, 2) + pow(p.j - q.j, 2))) * 2.5, 5) AS snap_m FROM q JOIN p ON p.survey_id = q.survey_id AND pow(p.i - q.i, 2) + pow(p.j - q.j, 2) <= 64 GROUP BY ALL""")
+@query("i10_snap_to_passable", f"""WITH {cells_sql(RES)}, {CLASS_SQL}, p AS (SELECT survey_id, i, j FROM cls WHERE cls <> 'building'), q AS (SELECT survey_id, i, j FROM cls WHERE cls = 'building')
+    SELECT q.survey_id, q.i, q.j, round(sqrt(min(pow(p.i - q.i, 2) + pow(p.j - q.j, 2))) * 2.5, 5) AS snap_m FROM q JOIN p ON p.survey_id = q.survey_id GROUP BY ALL""")
 def i10(spark: SparkSession, d: str) -> DataFrame:
+    """Way from each blocked cell to the nearest passable one, however far."""
     c = classes(spark, d)
-    asked = c.where("cls = 'building' AND (i + j) % 5 = 0").select(*CELL)
-    found = N.distance_to(asked, c.where("cls <> 'building'").select(*CELL), 8).where("distance IS NOT NULL")
+    found = N.distance_to(c.where("cls = 'building'").select(*CELL), c.where("cls <> 'building'").select(*CELL)).where("distance IS NOT NULL")
     return found.select(*CELL, F.round(F.col("distance") * RES, 5).alias("snap_m"))
 
 
@@ -456,8 +466,7 @@ def j05(spark: SparkSession, d: str) -> DataFrame:
 def j06(spark: SparkSession, d: str) -> DataFrame:
     """Vertical shift of the days, its scatter and the smallest change that counts."""
     p = day_pair(spark, d).withColumn("d", F.col("zb") - F.col("za")).withColumn("all", F.lit(1))
-    mid = p.groupBy("all").agg(F.percentile("d", F.lit(0.5)).alias("m"))
-    s = p.join(mid, "all").groupBy("m").agg((1.4826 * F.percentile(F.abs(F.col("d") - F.col("m")), F.lit(0.5))).alias("sigma"))
+    s = G.quantile(p, ["all"], "d", 0.5, "m").join(G.mad_sigma(p, ["all"], "d"), "all")
     return s.select(F.round("m", 5).alias("shift_m"), F.round("sigma", 5).alias("sigma_m"), F.round(1.96 * F.sqrt(F.col("sigma") * F.col("sigma") + 0.0225), 5).alias("level_m"))
 
 
@@ -472,14 +481,14 @@ def j07(spark: SparkSession, d: str) -> DataFrame:
     return labelled.groupBy(F.col("survey_id").alias("kind"), "label").agg((F.count("*") * 6.25).alias("area_m2"), F.round(F.max("h"), 5).alias("height_m")).where("area_m2 >= 12")
 
 
-@query("j09_alert_order", f"""{PAIR}, m AS (SELECT CASE WHEN gain > 0.9 THEN 'gain' ELSE 'loss' END AS kind, i, j, greatest(gain, loss) AS h FROM p WHERE gain > 0.9 OR loss > 0.9) SELECT kind, i, j, 'CHG-' || lpad(CAST(row_number() OVER (ORDER BY CASE kind WHEN 'gain' THEN 0 ELSE 1 END, round(h, 6) DESC, i, j) AS VARCHAR), 4, '0') AS id FROM m""")
+@query("j09_alert_order", f"""{PAIR}, m AS (SELECT CASE WHEN gain > 0.9 THEN 'gain' ELSE 'loss' END AS kind, i, j, greatest(gain, loss) AS h FROM p WHERE gain > 0.9 OR loss > 0.9) SELECT kind, i, j, 'CHG-' || printf('%04d', row_number() OVER (ORDER BY CASE kind WHEN 'gain' THEN 0 ELSE 1 END, round(h, 6) DESC, i, j)) AS id FROM m""")
 def j09(spark: SparkSession, d: str) -> DataFrame:
-    """Alerts in order of severity and size, numbered; alerts of a pair of days are a short list."""
+    """Alerts in order of severity and size, numbered."""
     p = day_pair(spark, d).where("gain > 0.9 OR loss > 0.9")
     kind = F.when(F.col("gain") > 0.9, "gain").otherwise("loss")
     rows = p.select(kind.alias("kind"), "i", "j", F.round(F.greatest("gain", "loss"), 6).alias("h"))
-    order = Window.orderBy(F.when(F.col("kind") == "gain", 0).otherwise(1), F.desc("h"), "i", "j")
-    return rows.select("kind", "i", "j", F.concat(F.lit("CHG-"), F.lpad(F.row_number().over(order).cast("string"), 4, "0")).alias("id"))
+    order = [F.when(F.col("kind") == "gain", 0).otherwise(1), F.desc("h"), F.col("i"), F.col("j")]
+    return G.numbered(rows, order, "no").select("kind", "i", "j", F.format_string("CHG-%04d", "no").alias("id"))
 
 
 @query("j03_tile_registration")

@@ -16,7 +16,7 @@ from terravane.operators import kernels as K
 from terravane.operators import neighbour as N
 from terravane.operators import telemetry as T
 from terravane.plans.fixtures import POINTS_SQL, cells_sql, points
-from terravane.plans.rasters import FAN, HIGH, REACH, high, seen
+from terravane.plans.rasters import FAN, HIGH, REACH, high, observers, seen
 from terravane.plans.telemetry import LOG, hav, log_of
 from terravane.plans.terrain import CAMERAS, CLASS_SQL, RES, cameras, classes, raster
 from terravane.session import cut_lineage, read
@@ -68,10 +68,11 @@ def c13(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c21_sensor_merge")
 def c21(spark: SparkSession, d: str) -> DataFrame:
-    """Gimbal and altitude of a log, filled from the raw files of the same frame."""
+    """Gimbal and altitude of a log, filled from the raw files of the same frame, the latest first."""
     from terravane.operators.schema_drift import consistent_readings
 
-    raw = consistent_readings(read(spark, d, "raw_logs")).groupBy("survey_id", "frame_id").agg(*[F.max(c).alias(f"raw_{c}") for c in ("gb_pitch", "gb_yaw", "absolute_altitude_m")])
+    latest = F.struct("written_at", "file_id", "line_no")
+    raw = consistent_readings(read(spark, d, "raw_logs")).groupBy("survey_id", "frame_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), latest)).alias(f"raw_{c}") for c in ("gb_pitch", "gb_yaw", "absolute_altitude_m")])
     log = log_of(spark, d).join(raw, ["survey_id", "frame_id"], "left")
     return log.select("survey_id", "frame_id", F.coalesce("gb_pitch", "raw_gb_pitch").alias("gb_pitch"), F.coalesce("gb_yaw", "raw_gb_yaw").alias("gb_yaw"), F.coalesce("abs_m", "raw_absolute_altitude_m").alias("abs_m"))
 
@@ -138,11 +139,17 @@ def e06(spark: SparkSession, d: str) -> DataFrame:
     return N.close_mask(G.cells(points(spark, d), RES).where("n >= 14").select(*CELL), 1)
 
 
-@query("e07_track_reach", f"""WITH {cells_sql(RES)}, {CAMERAS}, t AS (SELECT DISTINCT survey_id, CAST(floor(z / 2.5) AS BIGINT) AS i, CAST(floor(x / 2.5) AS BIGINT) AS j FROM cams WHERE pid <= 5) SELECT DISTINCT c.survey_id, c.i, c.j FROM cells c JOIN t ON t.survey_id = c.survey_id AND pow(c.i - t.i, 2) + pow(c.j - t.j, 2) <= 64""")
+@query("e07_track_reach", f"""WITH {cells_sql(RES)}, {CAMERAS}, lo AS (SELECT survey_id, avg(zlo) AS g FROM cells GROUP BY survey_id), t AS (SELECT cams.survey_id, CAST(floor(z / 2.5) AS BIGINT) AS i, CAST(floor(x / 2.5) AS BIGINT) AS j, max(greatest(40.0, (y - g) / tan(radians(8.0)))) AS reach FROM cams JOIN lo USING (survey_id) GROUP BY ALL),
+    m AS (SELECT c.survey_id, c.i, c.j, min(row(CAST(pow(c.i - t.i, 2) + pow(c.j - t.j, 2) AS BIGINT), t.i, t.j, reach)) AS k FROM cells c JOIN t ON t.survey_id = c.survey_id GROUP BY ALL) SELECT survey_id, i, j FROM m WHERE sqrt(k[1]) * 2.5 <= k[4]""")
 def e07(spark: SparkSession, d: str) -> DataFrame:
-    """Cells within 20 m of the flight track."""
-    track = G.with_cell(cameras(spark, d).where("pid <= 5"), RES).select(*CELL).distinct()
-    return N.dilate(track, 8).join(G.cells(points(spark, d), RES).select(*CELL), CELL, "left_semi")
+    """Cells within reach of the nearest camera: 40 m, or as far as it looks down at 8 degrees at least."""
+    c = G.cells(points(spark, d), RES).select(*CELL, "zlo")
+    ground = c.groupBy("survey_id").agg(F.avg("zlo").alias("g"))
+    reach = F.greatest(F.lit(40.0), (F.col("y") - F.col("g")) / F.tan(F.radians(F.lit(8.0))))
+    track = G.with_cell(cameras(spark, d), RES).join(ground, "survey_id").groupBy(*CELL).agg(F.max(reach).alias("reach"))
+    near = N.distance_to(c.select(*CELL), track.select(*CELL)).where("distance IS NOT NULL")
+    held = near.join(track.select("survey_id", F.col("i").alias("near_i"), F.col("j").alias("near_j"), "reach"), ["survey_id", "near_i", "near_j"])
+    return held.where(F.col("distance") * RES <= F.col("reach")).select(*CELL)
 
 
 @query("e08_density_gate", f"""WITH {cells_sql(RES)}, w AS (SELECT c.survey_id, c.i, c.j, count(CASE WHEN o.n >= 16 THEN 1 END) / 9.0 AS share FROM cells c JOIN cells o ON o.survey_id = c.survey_id AND abs(o.i - c.i) <= 1 AND abs(o.j - c.j) <= 1 GROUP BY ALL) SELECT survey_id, i, j, round(share, 6) AS share FROM w WHERE share >= 0.45""")
@@ -158,7 +165,7 @@ def e08(spark: SparkSession, d: str) -> DataFrame:
 def e09(spark: SparkSession, d: str) -> DataFrame:
     """Sparse cells take the layer of the nearest dense one."""
     g = G.cells(points(spark, d), RES).select(*CELL, F.when(F.col("n") >= 14, F.col("zmed")).alias("v"))
-    return N.nearest_fill(g, "v", 4, "filled").where("v IS NULL AND filled IS NOT NULL").select(*CELL, F.round("filled", 6).alias("filled"))
+    return N.nearest_fill(g, "v", "filled", 4).where("v IS NULL AND filled IS NOT NULL").select(*CELL, F.round("filled", 6).alias("filled"))
 
 
 @query("e17_land_cover")
@@ -194,18 +201,20 @@ def e26(spark: SparkSession, d: str) -> DataFrame:
     return G.sample_bilinear(at, g, "zhi", 5.0, "h").select("survey_id", (F.col("e") + east0).alias("easting"), (F.col("n") + north0).alias("northing"), F.round("h", 4).alias("height_m"))
 
 
-ALERTS = f"WITH RECURSIVE {cells_sql(RES)}, {CLASS_SQL}, mask AS (SELECT survey_id, i // 3 AS i, j // 3 AS j FROM cls WHERE h > 9.55 GROUP BY ALL)"
+def linked_sql(d: float, least: int = 3) -> str:
+    """CTEs over alerts (survey_id, pid, x, z): links of at most d, and clusters of at least some members."""
+    return f"""link AS (SELECT a.survey_id, a.pid AS a, b.pid AS b FROM alerts a JOIN alerts b ON a.survey_id = b.survey_id WHERE pow(a.x - b.x, 2) + pow(a.z - b.z, 2) <= {d * d}), way AS (SELECT survey_id, a, b FROM link UNION SELECT w.survey_id, w.a, l.b FROM way w JOIN link l ON l.survey_id = w.survey_id AND l.a = w.b),
+    root AS (SELECT survey_id, a AS pid, min(b) AS label FROM way GROUP BY ALL) SELECT survey_id, CAST(label AS BIGINT) AS label, count(*) AS members FROM root GROUP BY ALL HAVING count(*) >= {least}"""
 
 
-@query("f16_alert_clusters", f"{ALERTS}, {REACH} SELECT survey_id, CAST(label AS BIGINT) AS label, count(*) AS members FROM lab GROUP BY ALL HAVING count(*) >= 3")
-def f16(spark: SparkSession, d: str) -> DataFrame:
-    """Alerts of neighbouring 7.5 m blocks linked to clusters of at least three.
+ALERTS = f"WITH RECURSIVE {cells_sql(RES)}, {CLASS_SQL}, mask AS (SELECT survey_id, i, j FROM cls WHERE h > 9.35), {REACH}, alerts AS (SELECT survey_id, CAST(label AS BIGINT) AS pid, (avg(j) + 0.5) * 2.5 AS x, (avg(i) + 0.5) * 2.5 AS z FROM lab GROUP BY survey_id, label)"
 
-    Linkage within a distance is the component relation of blocks of that distance, so no pairs of alerts
-    are listed.
-    """
-    blocks = high(spark, d, 9.55).select("survey_id", F.floor(F.col("i") / 3).alias("i"), F.floor(F.col("j") / 3).alias("j")).distinct()
-    return N.components(blocks).groupBy("survey_id", "label").agg(F.count("*").alias("members")).where("members >= 3")
+
+@query("f16_alert_clusters", f"{ALERTS}, {linked_sql(6.0)}")
+def f16(spark: SparkSession, d: str) -> DataFrame:
+    """Objects whose centres are linked within 6 m, in clusters of at least three."""
+    o = N.components(high(spark, d)).groupBy("survey_id", F.col("label").alias("pid")).agg(((F.avg("j") + 0.5) * RES).alias("x"), ((F.avg("i") + 0.5) * RES).alias("z"))
+    return G.linked(cut_lineage(o), 6.0).groupBy("survey_id", "label").agg(F.count("*").alias("members")).where("members >= 3")
 
 
 @query("g06_cell_median_top", f"""WITH {POINTS_SQL}, m AS (SELECT survey_id, CAST(floor(z / 10) AS BIGINT) AS bi, CAST(floor(x / 10) AS BIGINT) AS bj, CAST(floor(z / 2) AS BIGINT) AS i, CAST(floor(x / 2) AS BIGINT) AS j, quantile_cont(y, 0.5) AS m FROM pts GROUP BY ALL) SELECT survey_id, bi, bj, round(quantile_cont(m, 0.95), 5) AS top_m FROM m GROUP BY survey_id, bi, bj""")
@@ -242,12 +251,11 @@ def g12(spark: SparkSession, d: str) -> DataFrame:
     return m.join(b, ["survey_id", "k"]).select("survey_id", "k", F.round(F.sqrt(dx * dx + dz * dz), 5).alias("horizontal_m"), F.round(dy, 5).alias("vertical_m"), F.round(F.sqrt(dx * dx + dy * dy + dz * dz), 5).alias("distance_m"))
 
 
-@query("g03_spikes_removed", f"""WITH {POINTS_SQL}, p AS (SELECT *, row_number() OVER () AS id FROM pts WHERE x < 20 AND z < 20), k AS (SELECT p.survey_id, p.id, count(*) AS n FROM p JOIN p o ON o.survey_id = p.survey_id AND sqrt(pow(p.x - o.x, 2) + pow(p.z - o.z, 2)) <= 0.5 GROUP BY p.survey_id, p.id) SELECT survey_id, count(*) AS n FROM k WHERE n >= 4 GROUP BY survey_id""")
+@query("g03_spikes_removed", f"""WITH {POINTS_SQL}, p AS (SELECT survey_id, x, z, CAST(floor(x / 0.5) AS BIGINT) AS bx, CAST(floor(z / 0.5) AS BIGINT) AS bz, row_number() OVER () AS id FROM pts), q AS (SELECT survey_id, x, z, bx + a AS bx, bz + b AS bz FROM p, (SELECT unnest([-1, 0, 1]) a), (SELECT unnest([-1, 0, 1]) b)),
+    k AS (SELECT p.survey_id, p.id, count(*) AS n FROM p JOIN q o ON o.survey_id = p.survey_id AND o.bx = p.bx AND o.bz = p.bz WHERE sqrt(pow(p.x - o.x, 2) + pow(p.z - o.z, 2)) <= 0.5 GROUP BY p.survey_id, p.id) SELECT survey_id, count(*) AS n FROM k WHERE n >= 4 GROUP BY survey_id""")
 def g03(spark: SparkSession, d: str) -> DataFrame:
-    """Points of a site with at least four points, themselves included, within half a metre."""
-    p = points(spark, d).where("x < 20 AND z < 20").withColumn("pid", F.monotonically_increasing_id()).select("survey_id", "pid", "x", "z")
-    counted = G.within(p, p, 0.5, keep_self=True).groupBy("survey_id", "pid").agg(F.count("*").alias("n"))
-    return counted.where("n >= 4").groupBy("survey_id").agg(F.count("*").alias("n"))
+    """Points with at least four points, themselves included, within half a metre."""
+    return G.crowded(points(spark, d), 0.5, 4).groupBy("survey_id").agg(F.count("*").alias("n"))
 
 
 @query("h05_road_mask", f"WITH {cells_sql(RES)}, {CLASS_SQL} SELECT survey_id, CASE WHEN i BETWEEN 10 AND 14 AND cls NOT IN ('building') THEN 'road' ELSE cls END AS cls, count(*) AS n FROM cls GROUP BY ALL")
@@ -257,11 +265,11 @@ def h05(spark: SparkSession, d: str) -> DataFrame:
     return classes(spark, d).groupBy("survey_id", road.alias("cls")).agg(F.count("*").alias("n"))
 
 
-@query("h06_fine_surface", f"""WITH {POINTS_SQL}, r AS (SELECT survey_id, CAST(floor(z / 1.2) AS BIGINT) AS i, CAST(floor(x / 1.2) AS BIGINT) AS j, y, row_number() OVER w - 1 AS rk, count(*) OVER (PARTITION BY survey_id, floor(z / 1.2), floor(x / 1.2)) AS n FROM pts WHERE z BETWEEN 25 AND 37 WINDOW w AS (PARTITION BY survey_id, floor(z / 1.2), floor(x / 1.2) ORDER BY y))
+@query("h06_fine_surface", f"""WITH {POINTS_SQL}, r AS (SELECT survey_id, CAST(floor(z / 1.2) AS BIGINT) AS i, CAST(floor(x / 1.2) AS BIGINT) AS j, y, row_number() OVER w - 1 AS rk, count(*) OVER (PARTITION BY survey_id, floor(z / 1.2), floor(x / 1.2)) AS n FROM pts WINDOW w AS (PARTITION BY survey_id, floor(z / 1.2), floor(x / 1.2) ORDER BY y))
     SELECT survey_id, i, j, round(max(CASE WHEN rk = (n - 1) // 2 THEN y END), 6) AS surface FROM r GROUP BY ALL""")
 def h06(spark: SparkSession, d: str) -> DataFrame:
-    """Lower median height of fine cells along a road."""
-    r = G.ranked(G.with_cell(points(spark, d).where("z BETWEEN 25 AND 37"), 1.2), CELL, "y")
+    """Lower median height of fine cells."""
+    r = G.ranked(G.with_cell(points(spark, d), 1.2), CELL, "y")
     lower = F.max(F.when(F.col("rk") == F.floor((F.col("n") - 1) / 2), F.col("y")))
     return r.groupBy(*CELL).agg(F.round(lower, 6).alias("surface"))
 
@@ -279,13 +287,11 @@ def h12(spark: SparkSession, d: str) -> DataFrame:
     SELECT survey_id, round((cj + 0.5) * 2.5, 5) AS x, round((ci + 0.5) * 2.5, 5) AS z, round(top + 0.3, 5) AS eye FROM o""")
 def i01(spark: SparkSession, d: str) -> DataFrame:
     """One observer above each structure of at least 15 square metres."""
-    c = classes(spark, d).select(*CELL, "zhi")
-    o = N.components(high(spark, d)).join(c, CELL).groupBy("survey_id", "label").agg(F.count("*").alias("n"), F.avg("i").alias("ci"), F.avg("j").alias("cj"), F.max("zhi").alias("top")).where(F.col("n") * 6.25 >= 15)
-    return o.select("survey_id", F.round((F.col("cj") + 0.5) * RES, 5).alias("x"), F.round((F.col("ci") + 0.5) * RES, 5).alias("z"), F.round(F.col("top") + 0.3, 5).alias("eye"))
+    return observers(spark, d).select("survey_id", *[F.round(c, 5).alias(c) for c in ("x", "z", "eye")])
 
 
-SITE = f"""WITH {cells_sql(RES)}, {CLASS_SQL}, {FAN}, ex AS (SELECT survey_id, i, j, 1 - exp(sum(ln(1 - 0.95 * pow(2.0, -pow(distance / 350.0, 2))))) AS e FROM vis GROUP BY ALL),
-    nb AS (SELECT c.survey_id, c.i, c.j, min(sqrt(pow(o.i - c.i, 2) + pow(o.j - c.j, 2))) * 2.5 AS d FROM cls c JOIN cls o ON o.survey_id = c.survey_id AND o.cls = 'building' AND pow(o.i - c.i, 2) + pow(o.j - c.j, 2) <= 36 WHERE c.cls <> 'building' GROUP BY ALL),
+SITE = f"""WITH RECURSIVE {cells_sql(RES)}, {CLASS_SQL}, {FAN}, ex AS (SELECT survey_id, i, j, 1 - exp(sum(ln(1 - 0.95 * pow(2.0, -pow(distance / 350.0, 2))))) AS e FROM vis GROUP BY ALL),
+    nb AS (SELECT c.survey_id, c.i, c.j, min(sqrt(pow(o.i - c.i, 2) + pow(o.j - c.j, 2))) * 2.5 AS d FROM cls c JOIN cls o ON o.survey_id = c.survey_id AND o.cls = 'building' WHERE c.cls <> 'building' GROUP BY ALL),
     s AS (SELECT c.survey_id, c.i, c.j, 100 * (0.52 * least(1, coalesce(d, 15) / 15) + 0.48 * (1 - least(1, coalesce(e, 0) / 0.6))) AS score FROM cls c LEFT JOIN nb USING (survey_id, i, j) LEFT JOIN ex USING (survey_id, i, j) WHERE c.cls <> 'building')"""
 
 
@@ -294,7 +300,7 @@ def i04(spark: SparkSession, d: str) -> DataFrame:
     """Score of open cells: distance from structures and concealment."""
     c = classes(spark, d)
     open_ = c.where("cls <> 'building'").select(*CELL)
-    near = N.distance_to(open_, c.where("cls = 'building'").select(*CELL), 6)
+    near = N.distance_to(open_, c.where("cls = 'building'").select(*CELL))
     e = N.exposure(seen(spark, d)).select(*CELL, "exposure")
     away = F.least(F.lit(1.0), F.coalesce(F.col("distance") * RES, F.lit(15.0)) / 15)
     hidden = 1 - F.least(F.lit(1.0), F.coalesce("exposure", F.lit(0.0)) / 0.6)
@@ -342,8 +348,8 @@ def j01(spark: SparkSession, d: str) -> DataFrame:
 def l02(spark: SparkSession, d: str) -> DataFrame:
     """Whether a surface normal already points to the nearest camera."""
     w = Window.partitionBy("survey_id", "i").orderBy("j")
-    c = G.cells(points(spark, d), RES).select("survey_id", (F.col("i") * 1000 + F.col("j")).alias("pid"), "i", "j", ((F.col("j") + 0.5) * RES).alias("x"), ((F.col("i") + 0.5) * RES).alias("z"), "zmed", (F.lead("zmed").over(w) - F.col("zmed")).alias("gx")).where("gx IS NOT NULL")
-    near = G.nearest(c, cameras(spark, d), 20.0, keep_self=True)
+    c = G.cells(points(spark, d), RES).select("survey_id", "i", "j", ((F.col("j") + 0.5) * RES).alias("x"), ((F.col("i") + 0.5) * RES).alias("z"), "zmed", (F.lead("zmed").over(w) - F.col("zmed")).alias("gx")).where("gx IS NOT NULL")
+    near = G.nearest(c, cameras(spark, d), 20.0, keep_self=True, key=["i", "j"])
     dot = -F.col("gx") / RES * (F.col("o_x") - F.col("x")) + (F.col("o_y") - F.col("zmed"))
     return near.select(*CELL, F.when(dot >= 0, 1).otherwise(-1).alias("sign"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terravane.functions.geodesy import bearing, haversine
+from terravane.operators import grid as G
 from terravane.operators import telemetry as T
 from terravane.session import read
 
@@ -145,7 +146,7 @@ def c10(spark: SparkSession, d: str) -> DataFrame:
     h AS (SELECT survey_id, min(home_lat) AS ha, min(home_lon) AS ho FROM flight_data WHERE home_lat IS NOT NULL GROUP BY survey_id)
     SELECT survey_id, least({hav('ha', 'ho', 'a', 'o')}, {hav('ha', 'ho', 'o', 'a')}) <= 2000 AS matches FROM m JOIN h USING (survey_id)""")
 def c11(spark: SparkSession, d: str) -> DataFrame:
-    middle = log_of(spark, d).where("lat IS NOT NULL AND lon IS NOT NULL").groupBy("survey_id").agg(F.percentile("lat", F.lit(0.5)).alias("a"), F.percentile("lon", F.lit(0.5)).alias("o"))
+    middle = G.quantiles(log_of(spark, d).where("lat IS NOT NULL AND lon IS NOT NULL"), ["survey_id"], a=("lat", 0.5), o=("lon", 0.5))
     home = read(spark, d, "flight_data").where("home_lat IS NOT NULL").groupBy("survey_id").agg(F.min("home_lat").alias("ha"), F.min("home_lon").alias("ho"))
     near = F.least(haversine(F.col("ha"), F.col("ho"), F.col("a"), F.col("o")), haversine(F.col("ha"), F.col("ho"), F.col("o"), F.col("a"))) <= 2000
     return middle.join(home, "survey_id").select("survey_id", near.alias("matches"))
@@ -174,8 +175,8 @@ def c15(spark: SparkSession, d: str) -> DataFrame:
 @query("c16_camera_tilt", f"""WITH {LOG}, s AS (SELECT survey_id, quantile_cont(gb_pitch, 0.5) AS mid, quantile_cont(gb_pitch, 0.1) AS low, quantile_cont(gb_pitch, 0.9) AS high FROM log WHERE gb_pitch IS NOT NULL GROUP BY survey_id)
     SELECT survey_id, round(mid, 5) AS mid, round(low, 5) AS low, round(high, 5) AS high, CASE WHEN mid < -75 THEN 'nadir' WHEN mid < -15 THEN 'oblique' ELSE 'level' END AS kind FROM s""")
 def c16(spark: SparkSession, d: str) -> DataFrame:
-    p = lambda q, n: F.round(F.percentile("gb_pitch", F.lit(q)), 5).alias(n)
-    stats = log_of(spark, d).where("gb_pitch IS NOT NULL").groupBy("survey_id").agg(p(0.5, "mid"), p(0.1, "low"), p(0.9, "high"))
+    stats = G.quantiles(log_of(spark, d).where("gb_pitch IS NOT NULL"), ["survey_id"], mid=("gb_pitch", 0.5), low=("gb_pitch", 0.1), high=("gb_pitch", 0.9))
+    stats = stats.select("survey_id", *[F.round(c, 5).alias(c) for c in ("mid", "low", "high")])
     return stats.withColumn("kind", F.when(F.col("mid") < -75, "nadir").when(F.col("mid") < -15, "oblique").otherwise("level"))
 
 
@@ -209,9 +210,10 @@ def c20(spark: SparkSession, d: str) -> DataFrame:
 @query("c22_log_summary", f"""WITH {LOG}, g AS (SELECT survey_id, count(*) AS n, round(max(t) - min(t), 4) AS seconds, round(quantile_cont(rel, 0.5), 5) AS mid_rel, round(quantile_cont(gb_pitch, 0.5), 5) AS mid_pitch, count(lat) AS n_lat FROM log GROUP BY survey_id),
     f AS (SELECT survey_id, max(waypoint_count) AS said, min(source) AS source FROM flight_data GROUP BY survey_id) SELECT survey_id, n, seconds, mid_rel, mid_pitch, n_lat, said, source FROM g LEFT JOIN f USING (survey_id)""")
 def c22(spark: SparkSession, d: str) -> DataFrame:
-    stats = log_of(spark, d).groupBy("survey_id").agg(
-        F.count("*").alias("n"), F.round(F.max("t") - F.min("t"), 4).alias("seconds"), F.round(F.percentile("rel", F.lit(0.5)), 5).alias("mid_rel"), F.round(F.percentile("gb_pitch", F.lit(0.5)), 5).alias("mid_pitch"), F.count("lat").alias("n_lat"),
-    )
+    log = log_of(spark, d)
+    stats = log.groupBy("survey_id").agg(F.count("*").alias("n"), F.round(F.max("t") - F.min("t"), 4).alias("seconds"), F.count("lat").alias("n_lat"))
+    middle = G.quantiles(log, ["survey_id"], mid_rel=("rel", 0.5), mid_pitch=("gb_pitch", 0.5))
+    stats = stats.join(middle.select("survey_id", *[F.round(c, 5).alias(c) for c in ("mid_rel", "mid_pitch")]), "survey_id")
     said = read(spark, d, "flight_data").groupBy("survey_id").agg(F.max("waypoint_count").alias("said"), F.min("source").alias("source"))
     return stats.join(said, "survey_id", "left")
 

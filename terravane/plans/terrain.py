@@ -60,9 +60,9 @@ def e03(spark: SparkSession, d: str) -> DataFrame:
 @query("e04_robust_extent", f"""WITH {POINTS_SQL} SELECT survey_id, round(quantile_cont(x, 0.0005) - 25, 6) AS x0, round(quantile_cont(x, 0.9995) + 25, 6) AS x1,
     round(quantile_cont(z, 0.0005) - 25, 6) AS z0, round(quantile_cont(z, 0.9995) + 25, 6) AS z1 FROM pts GROUP BY survey_id""")
 def e04(spark: SparkSession, d: str) -> DataFrame:
-    q = lambda c, p, pad, n: F.round(F.percentile(c, F.lit(p)) + pad, 6).alias(n)
-    pad = 10 * RES
-    return points(spark, d).groupBy("survey_id").agg(q("x", 0.0005, -pad, "x0"), q("x", 0.9995, pad, "x1"), q("z", 0.0005, -pad, "z0"), q("z", 0.9995, pad, "z1"))
+    ends = G.quantiles(points(spark, d), ["survey_id"], x0=("x", 0.0005), x1=("x", 0.9995), z0=("z", 0.0005), z1=("z", 0.9995))
+    pad = {"0": -10 * RES, "1": 10 * RES}
+    return ends.select("survey_id", *[F.round(F.col(c) + pad[c[1]], 6).alias(c) for c in ("x0", "x1", "z0", "z1")])
 
 
 CAMERAS = "cams AS (SELECT s.survey_id, s_suppkey AS pid, CAST(s_suppkey * 37 % 100 AS DOUBLE) AS x, CAST(s_suppkey * 61 % 100 AS DOUBLE) AS z, 30.0 AS y FROM supplier, (SELECT unnest(['day1', 'day2']) AS survey_id) s)"
@@ -78,8 +78,8 @@ def cameras(spark: SparkSession, d: str) -> DataFrame:
     b AS (SELECT survey_id, i, j, min(row(dist, pid, y, zhi)) AS m FROM n WHERE dist <= 20 GROUP BY survey_id, i, j)
     SELECT survey_id, i, j, round(degrees(atan2(m[3] - m[4], greatest(m[1], 1e-6))), 5) AS angle, degrees(atan2(m[3] - m[4], greatest(m[1], 1e-6))) >= 8 AS seen FROM b""")
 def e05(spark: SparkSession, d: str) -> DataFrame:
-    c = G.cells(points(spark, d), RES).select("survey_id", (F.col("i") * 1000 + F.col("j")).alias("pid"), "i", "j", ((F.col("j") + 0.5) * RES).alias("x"), ((F.col("i") + 0.5) * RES).alias("z"), "zhi")
-    near = G.nearest(c, cameras(spark, d), 20.0, keep_self=True)
+    c = G.cells(points(spark, d), RES).select("survey_id", "i", "j", ((F.col("j") + 0.5) * RES).alias("x"), ((F.col("i") + 0.5) * RES).alias("z"), "zhi")
+    near = G.nearest(c, cameras(spark, d), 20.0, keep_self=True, key=["i", "j"])
     angle = F.degrees(F.atan2(F.col("o_y") - F.col("zhi"), F.greatest(F.col("distance"), F.lit(1e-6))))
     return near.select("survey_id", "i", "j", F.round(angle, 5).alias("angle"), (angle >= 8).alias("seen"))
 
@@ -273,7 +273,8 @@ NUMBERED = f"{POINTS_SQL}, {FIRST}, num AS (SELECT *, row_number() OVER (ORDER B
 def e35(spark: SparkSession, d: str) -> DataFrame:
     p = sparse(spark, d).select("survey_id", "pid", "x", "z")
     gaps = G.within(p, p, 2.0).groupBy("survey_id", "pid").agg(F.min("distance").alias("m"))
-    return gaps.groupBy("survey_id").agg(F.count("*").alias("n"), F.round(F.percentile("m", F.lit(0.5)), 5).alias("spacing"))
+    spacing = G.quantile(gaps, ["survey_id"], "m", 0.5, "spacing")
+    return gaps.groupBy("survey_id").agg(F.count("*").alias("n")).join(spacing, "survey_id").select("survey_id", "n", F.round("spacing", 5).alias("spacing"))
 
 
 @query("f18_nearest_neighbours", f"""WITH {NUMBERED}, n AS (SELECT p.survey_id, p.id, sqrt(pow(p.x - o.x, 2) + pow(p.z - o.z, 2)) AS m FROM num p JOIN num o ON o.survey_id = p.survey_id AND o.id <> p.id AND abs(o.x - p.x) <= 2 AND abs(o.z - p.z) <= 2),
@@ -290,9 +291,9 @@ def e37(spark: SparkSession, d: str) -> DataFrame:
     return rounded(G.mad_sigma(points(spark, d), ["survey_id"], "y"), ["survey_id"], "sigma", digits=5)
 
 
-@query("e38_height_histogram", f"""WITH {POINTS_SQL} SELECT survey_id, CAST(least(floor(y / 0.5), 59) AS BIGINT) AS bin, count(*) AS n FROM pts GROUP BY ALL""")
+@query("e38_height_histogram", f"""WITH {POINTS_SQL} SELECT survey_id, CAST(floor(y / 0.5) AS BIGINT) AS bin, count(*) AS n FROM pts GROUP BY ALL""")
 def e38(spark: SparkSession, d: str) -> DataFrame:
-    return points(spark, d).groupBy("survey_id", F.least(F.floor(F.col("y") / 0.5), F.lit(59)).alias("bin")).agg(F.count("*").alias("n"))
+    return points(spark, d).groupBy("survey_id", F.floor(F.col("y") / 0.5).alias("bin")).agg(F.count("*").alias("n"))
 
 
 @query("f08_class_statistics", f"""WITH {cells_sql(RES)}, {CLASS_SQL} SELECT survey_id, cls, count(*) AS n, round(count(*) * 6.25, 4) AS area_m2, round(quantile_cont(h, 0.5), 5) AS mid_h, round(max(h), 5) AS top_h, round(avg(i), 5) AS ci, round(avg(j), 5) AS cj, min(i) AS i0, max(i) AS i1 FROM cls GROUP BY survey_id, cls""")

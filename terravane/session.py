@@ -31,16 +31,23 @@ def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of ``df`` in the shared folder the cluster names.
 
-    The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset (tests on one
-    machine) a folder of this process is used.
+    The folder is ``spark.checkpoint.dir`` of the session; see ``shared_folder``.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"terravane-{os.getpid()}"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; without it a folder of this machine, in local mode only."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), f"terravane-{os.getpid()}")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

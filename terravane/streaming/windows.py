@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terravane.session import shared_folder
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events folder as a stream; event time as a timestamp, which watermarks need."""
@@ -47,7 +48,7 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     own checkpoint lie in the folder ``spark.checkpoint.dir`` names, so any executor can read them.
     """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/terravane-{os.getpid()}"
+    base = shared_folder(spark)
     place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = stream.schema
 

@@ -181,3 +181,55 @@ def test_planes_of_large_objects_and_degenerate_points():
 def test_labels_by_edges():
     grid = np.eye(4, dtype=bool)
     assert kernels.label(grid).max() == 1 and kernels.label(grid, corners=False).max() == 4
+
+
+def test_quantiles_of_any_group_size(spark):
+    from terravane.operators.grid import numbered, quantiles
+
+    rng = np.random.default_rng(8)
+    groups = {"a": rng.normal(size=3000), "b": np.round(rng.normal(size=700), 1), "c": np.array([5.0]), "d": np.array([1.0, 2.0])}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("e", None), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for accuracy in (100, 10_000):
+        from terravane.operators.grid import quantile
+
+        for q in (0.0, 0.1, 0.5, 0.905, 1.0):
+            got = {r.g: r.x for r in quantile(df, ["g"], "v", q, "x", accuracy).collect()}
+            assert got.keys() == groups.keys() and all(got[g] == pytest.approx(np.quantile(x, q)) for g, x in groups.items())
+    assert {r.g: r.lo for r in quantiles(df, ["g"], lo=("v", 0.25)).collect()}["e"] is None
+    ordered = numbered(df.where("v IS NOT NULL"), [df["v"], df["g"]], "no").orderBy("no").collect()
+    assert [r.no for r in ordered] == list(range(1, len(ordered) + 1)) and all(a.v <= b.v for a, b in zip(ordered, ordered[1:]))
+    assert numbered(df.limit(0), [df["v"]], "no").count() == 0
+
+
+def test_nearest_cells_links_and_crowds_against_brute_force(spark):
+    from terravane.operators import grid, neighbour
+
+    rng = np.random.default_rng(9)
+    cells = [("s", int(i), int(j)) for i in range(-3, 25) for j in range(30) if rng.random() < 0.7]
+    mask = [("s", int(i), int(j)) for i, j in zip(rng.integers(-10, 40, 9), rng.integers(-5, 45, 9))]
+    make = lambda x: spark.createDataFrame(x, "survey_id string, i bigint, j bigint")
+    got = {(r.i, r.j): (r.d2, r.near_i, r.near_j) for r in neighbour.nearest_cells(make(cells), make(mask)).collect()}
+    assert got == {(i, j): min(((i - a) ** 2 + (j - b) ** 2, a, b) for _, a, b in mask) for _, i, j in cells}
+    assert neighbour.nearest_cells(make(cells), make(mask).limit(0)).count() == 0
+    p = rng.uniform(0, 30, (150, 2))
+    points = spark.createDataFrame([("s", k, float(x), float(z)) for k, (x, z) in enumerate(p)], "survey_id string, pid bigint, x double, z double")
+    away = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1))
+    for d in (1.0, 2.5):
+        label = np.arange(150)
+        for _ in range(150):
+            label = np.array([label[away[k] <= d].min() for k in range(150)])
+        got = {r.pid: r.label for r in grid.linked(points, d).collect()}
+        assert [got[k] for k in range(150)] == label.tolist()
+        assert grid.crowded(points, d, 3).count() == ((away <= d).sum(axis=1) >= 3).sum()
+
+
+def test_holes_that_touch_corners_are_filled(spark):
+    from terravane.operators.neighbour import fill_holes
+
+    grid = np.ones((7, 7), dtype=bool)
+    grid[2, 2] = grid[3, 3] = False  # corners only
+    grid[5, 5] = grid[6, 5] = False  # reaches the border
+    make = lambda x: spark.createDataFrame([("s", int(i), int(j)) for i, j in np.argwhere(x)], "survey_id string, i bigint, j bigint")
+    got = {(r.i, r.j) for r in fill_holes(make(grid), make(np.ones((7, 7), dtype=bool))).collect()}
+    assert got == {(i, j) for i in range(7) for j in range(7)} - {(5, 5), (6, 5)}
