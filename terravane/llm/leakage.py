@@ -118,7 +118,8 @@ def leaked(corpus: DataFrame, held_out: DataFrame, doc: str, item: str, text: st
     """
     spark = corpus.sparkSession
     items = held_out.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).cast("long").alias("item"), F.col(text).alias("text")).distinct()
-    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    # runs of letters and digits, as in ``words``; splitting at blanks would not bound texts without any
+    total = items.agg(F.sum(F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_words))
     style_column = F.col(style) if style else F.lit(None).cast("string")
     rows = corpus.where(F.col(doc).isNotNull() & (F.length(text) > 0)).select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"), style_column.alias("style"))
