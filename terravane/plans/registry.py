@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from terravane.plans import catalog, geodesy, georeference, logs, preparation, rasters, sources, structures, surveys, telemetry, terrain
+from terravane.plans import catalog, geodesy, georeference, logs, preparation, products, rasters, sources, structures, surveys, telemetry, terrain
 
-MODULES = [preparation, telemetry, terrain, rasters, geodesy, georeference, sources, logs, surveys, structures, catalog]
+MODULES = [preparation, telemetry, terrain, rasters, geodesy, georeference, sources, logs, surveys, structures, products, catalog]
 
 
 def queries() -> dict[str, Callable]:

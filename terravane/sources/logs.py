@@ -38,6 +38,7 @@ def delimited(lines: DataFrame, line: str = "value") -> DataFrame:
 
     ``no`` is the row's number in its file from the column ``line_no``, which the lines must have.
     """
+    lines = lines.select("file", "line_no", line)
     head = lines.groupBy("file").agg(F.min_by(line, "line_no").alias("head"), F.min("line_no").alias("first"))
     separator = F.when(F.col("head").contains("\t"), "\t").when(F.col("head").contains(";"), ";").otherwise(",")
     cut = lambda c: F.transform(F.split(c, F.concat(F.lit("["), F.col("sep"), F.lit("]"))), lambda x: F.trim(F.regexp_replace(x, '^[ "]+|[ "]+$', "")))
