@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terravane.session import cut_lineage
+
 #: Canonical waypoint fields and the raw names that stand for them.
 LINE_ALIASES = {
     "frame_id": ["frame_id", "frame", "frame_no", "FrameCnt"],
@@ -171,7 +173,7 @@ def migration_steps(logs: DataFrame, registry: Registry = WAYPOINT_LOGS) -> Data
     Columns: file_id, logger_id, version, field_name, change, from_name, to_name, from_kind, to_kind. Only
     the first file of a schema version has steps; the first version of a logger has none.
     """
-    schemas = profiles(values(logs, registry))
+    schemas = cut_lineage(profiles(values(logs, registry)))
     return all_steps(versions(logs, schemas), schemas).where("before_id IS NOT NULL").drop("before_id")
 
 
@@ -209,7 +211,7 @@ def consistent_readings(logs: DataFrame, registry: Registry = WAYPOINT_LOGS) ->
     Coordinates of a pair follow the order the file's header names, lat_lon where it names none.
     """
     found = values(logs, registry)
-    schemas = profiles(found)
+    schemas = cut_lineage(profiles(found))  # a dozen rows a file; used four times
     files = versions(logs, schemas)
     rules = files.select("file_id", "logger_id", "version").join(version_rules(files, all_steps(files, schemas), registry), ["logger_id", "version"]).select("file_id", "field_name", "rule")
     order = (
