@@ -16,7 +16,7 @@ TRAJECTORY = {
     "lat": ["latitude", "lat", "gps_lat"],
     "lon": ["longitude", "lon", "lng", "long", "gps_lon"],
     "alt": ["altitude", "alt", "height", "elevation", "alt_m"],
-    "alt_ft": ["altitude_ft", "altitude_feet", "height_ft", "alt(ft)"],
+    "alt_ft": ["altitude_ft", "alt_ft", "altitude_feet", "height_ft", "alt(ft)"],
     "north": ["x", "north", "pos_x", "p_x"],
     "east": ["y", "east", "pos_y", "p_y"],
     "down": ["z", "down", "pos_z", "p_z"],
