@@ -293,27 +293,30 @@ def linked(points: DataFrame, distance: float) -> DataFrame:
     return p.join(merged.withColumnRenamed("label", "node"), ["survey_id", "node"], "left").select("survey_id", "pid", F.coalesce("root", "node").alias("label"))
 
 
-def quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str, accuracy: int = 10_000) -> DataFrame:
+def quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str, accuracy: int = 10_000, times: str | None = None) -> DataFrame:
     """(keys, name): the exact interpolated quantile of each group, of groups of any size.
 
     A mergeable sketch gives two values that enclose the rank; a second pass counts what lies below them
-    and keeps, by value with its count, only what lies between, some hundredths of a per cent.
+    and keeps, by value with its count, only what lies between, some hundredths of a per cent. ``times``
+    names a key: the quantile is that of a group in which each value stands so many times.
     """
     df = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     slack = 3.0 / accuracy  # the sketch is off by 1 / accuracy at most, and the next value must be in
     ends = df.groupBy(*keys).agg(F.percentile_approx("__v", [max(0.0, q - slack), min(1.0, q + slack)], accuracy).alias("__e"), F.count("*").alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
     few = F.col("__n") <= accuracy
+    size = F.col("__n") * F.col(times) if times else F.col("__n")
+    once = (lambda k: F.floor(k / F.col(times))) if times else (lambda k: k)
     low = F.when(few | F.lit(q <= slack), F.col("__min")).otherwise(F.col("__e")[0])
     high = F.when(few | F.lit(q >= 1 - slack), F.col("__max")).otherwise(F.col("__e")[1])
-    ends = ends.select(*keys, low.alias("__low"), high.alias("__high"), ((F.col("__n") - 1) * F.lit(float(q))).alias("__rank"))
+    ends = ends.select(*keys, low.alias("__low"), high.alias("__high"), ((size - 1) * F.lit(float(q))).alias("__rank"))
     joined = df.join(ends, keys)
     place = F.when(F.col("__v") < F.col("__low"), F.lit(None)).otherwise(F.col("__v"))
     kept = joined.where(F.col("__v") <= F.col("__high")).groupBy(*keys, "__rank", place.alias("__v")).agg(F.count("*").alias("__c"))
     pairs = kept.groupBy(*keys, "__rank").agg(F.sum(F.when(F.col("__v").isNull(), F.col("__c")).otherwise(0)).alias("__below"), F.sort_array(F.collect_list(F.when(F.col("__v").isNotNull(), F.struct("__v", "__c")))).alias("__p"))
     element = lambda k: F.aggregate("__p", F.struct((k - F.col("__below")).cast("long").alias("left"), F.lit(None).cast("double").alias("v")), lambda a, x: F.struct((a["left"] - x["__c"]).alias("left"), F.coalesce(a["v"], F.when(a["left"] < x["__c"], x["__v"])).alias("v")), lambda a: a["v"])
     first, share = F.floor("__rank"), F.col("__rank") - F.floor("__rank")
-    a = element(first)
-    return pairs.select(*keys, F.when(share == 0, a).otherwise((1 - share) * a + share * element(first + 1)).alias(name))
+    a = element(once(first))
+    return pairs.select(*keys, F.when(share == 0, a).otherwise((1 - share) * a + share * element(once(first + 1))).alias(name))
 
 
 def quantiles(df: DataFrame, keys: list[str], **wanted: tuple[str, float]) -> DataFrame:

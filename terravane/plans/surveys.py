@@ -23,6 +23,8 @@ from terravane.session import cut_lineage, read
 
 QUERIES, ORACLE = {}, {}
 CELL = G.CELL
+#: Spots of cameras that are sent to all tasks; more of them meet the points by exchange.
+BROADCAST_SPOTS = 10_000
 
 
 def query(name: str, sql: str | None = None):  # noqa: ANN201
@@ -122,11 +124,21 @@ def d12(spark: SparkSession, d: str) -> DataFrame:
 @query("d16_camera_heights", f"""WITH {POINTS_SQL}, {CAMERAS}, n AS (SELECT k.survey_id, k.pid, k.y - quantile_cont(p.y, 0.15) AS h, count(*) AS n FROM cams k JOIN pts p ON p.survey_id = k.survey_id AND abs(p.x - k.x) <= 4 AND abs(p.z - k.z) <= 4 AND sqrt(pow(p.x - k.x, 2) + pow(p.z - k.z, 2)) <= 4 GROUP BY k.survey_id, k.pid, k.y)
     SELECT survey_id, pid, n, round(h, 5) AS height_m FROM n WHERE n >= 30""")
 def d16(spark: SparkSession, d: str) -> DataFrame:
-    """Height of cameras over the low points within four metres."""
+    """Height of cameras over the low points within four metres.
+
+    Cameras at one spot are over the same points, so points meet each spot once, however many cameras
+    are there, and no pair is exchanged; a camera listed several times counts its points as often.
+    """
     p = points(spark, d).select("survey_id", F.lit(-1).alias("pid"), "x", "z", "y")
-    near = G.within(p, cameras(spark, d), 4.0, keep_self=True)
-    h = near.groupBy("survey_id", F.col("o_pid").alias("pid"), "o_y").agg(F.count("*").alias("n"), F.percentile("y", F.lit(0.15)).alias("low"))
-    return h.where("n >= 30").select("survey_id", "pid", "n", F.round(F.col("o_y") - F.col("low"), 5).alias("height_m"))
+    cams = cameras(spark, d).groupBy("survey_id", "pid", "x", "z", "y").agg(F.count("*").alias("times"))
+    spots = cams.select("survey_id", "x", "z", "times").where("x IS NOT NULL AND z IS NOT NULL").distinct()
+    spots = F.broadcast(spots) if spots.count() <= BROADCAST_SPOTS else spots
+    spot = ["survey_id", "o_x", "o_z", "o_times"]
+    near = G.within(p, spots, 4.0, keep_self=True).select(*spot, "y")
+    n = near.groupBy(*spot).agg((F.count("*") * F.col("o_times")).alias("n")).where("n >= 30")
+    h = n.join(G.quantile(near, spot, "y", 0.15, "low", times="o_times"), spot, "left")
+    h = h.select("survey_id", F.col("o_x").alias("x"), F.col("o_z").alias("z"), F.col("o_times").alias("times"), "n", "low")
+    return cams.join(h, ["survey_id", "x", "z", "times"]).select("survey_id", "pid", "n", F.round(F.col("y") - F.col("low"), 5).alias("height_m"))
 
 
 SEEN_SQL = f"WITH {cells_sql(RES)}, mask AS (SELECT survey_id, i, j FROM cells WHERE n >= 14)"
