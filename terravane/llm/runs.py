@@ -10,13 +10,15 @@ event before by more than its tolerance.
 ``segment`` is the dynamic programme F(t) = min over s <= t of F(s-1) + cost(s, t) + penalty. Candidates
 are pruned: a start s with F(s-1) + cost(s, t) >= F(t) never wins later, as splitting a run never raises
 its cost; and without the level term all starts pay the same from then on, so a start that is not the
-cheapest, or is as cheap as an earlier one, is dominated. A boundary is certain where two neighbours
-differ by more than the penalty, so the programme falls into independent chains there, for any costs.
-
-Without the level term costs add over neighbours, so chains are solved inside blocks of the order axis
-(see ``operators.blocks``) and the run at a block's edge is carried on by the same comparison. With it a
-chain is one unit: chains are numbered blockwise and exchanged by (entity, chain), so that an entity is
-still spread over its chains; a chain without any certain boundary is held by one task.
+cheapest, or is as cheap as an earlier one, is dominated. Costs are kept relative to the cheapest, so
+that long sequences lose no digits.
+
+Without the level term costs add over neighbours, so the programme runs over whole blocks of the order
+axis (see ``operators.blocks``), finds all their boundaries, and the run at a block's edge is carried on
+by the same comparison. With it a boundary is still certain where two neighbours differ by more than the
+penalty, so the programme falls into independent chains there. A chain is one unit: chains are numbered
+blockwise and exchanged by (entity, chain), so that an entity is still spread over its chains; a chain
+without any certain boundary is held by one task.
 """
 
 from __future__ import annotations
@@ -31,36 +33,57 @@ from terravane.operators.sequences import with_context
 
 
 def segment(distance: np.ndarray, points: np.ndarray, penalty: float, level_weight: float) -> list[int]:
-    """Starts of the runs of the cheapest segmentation of one chain; of equally cheap ones that with the longest last runs.
+    """Starts of the runs of the cheapest segmentation of one sequence; of equally cheap ones that with the longest last runs.
 
     ``distance[i]`` is the dissimilarity of event i to event i-1, ``points`` has a row of fields for each event.
     """
+    back = _level_steps(distance, points, penalty, level_weight) if level_weight else _additive_steps(distance, penalty)
+    out, t = [], len(distance) - 1
+    while t >= 0:
+        out.append(int(back[t]))
+        t = out[-1] - 1
+    return out[::-1]
+
+
+def _additive_steps(distance: np.ndarray, penalty: float) -> list[int]:
+    """For each event the start of the cheapest last run that ends there, without the level term."""
+    back: list[int] = []
+    starts_at: list[int] = []
+    paid: list[float] = []
+    for t, d in enumerate(distance.tolist()):
+        starts_at.append(t)
+        paid = [*(p + d for p in paid), penalty]
+        least = paid.index(min(paid))
+        back.append(starts_at[least])
+        starts_at, paid = [starts_at[least]], [0.0]
+    return back
+
+
+def _level_steps(distance: np.ndarray, points: np.ndarray, penalty: float, level_weight: float) -> np.ndarray:
+    """The same with the level term."""
     n = len(distance)
     points = points - points[0]
     sums = np.vstack([np.zeros(points.shape[1]), np.cumsum(points, axis=0)])
     squares = np.append(0.0, np.cumsum((points**2).sum(axis=1)))
     back = np.zeros(n, dtype=np.int64)
-    starts_at, paid, best = np.zeros(0, dtype=np.int64), np.zeros(0), 0.0
+    starts_at, paid = np.zeros(0, dtype=np.int64), np.zeros(0)
     for t in range(n):
-        starts_at, paid = np.append(starts_at, t), np.append(paid + distance[t], best + penalty)
-        total = paid
-        if level_weight:
-            spread = squares[t + 1] - squares[starts_at] - ((sums[t + 1] - sums[starts_at]) ** 2).sum(axis=1) / (t + 1 - starts_at)
-            total = paid + level_weight * np.maximum(spread, 0.0)
+        starts_at, paid = np.append(starts_at, t), np.append(paid + distance[t], penalty)
+        spread = squares[t + 1] - squares[starts_at] - ((sums[t + 1] - sums[starts_at]) ** 2).sum(axis=1) / (t + 1 - starts_at)
+        total = paid + level_weight * np.maximum(spread, 0.0)
         least = int(np.argmin(total))
         best, back[t] = total[least], starts_at[least]
-        kept = total - penalty < best if level_weight else np.arange(len(total)) == least
-        starts_at, paid = starts_at[kept], paid[kept]
-    out, t = [], n - 1
-    while t >= 0:
-        out.append(int(back[t]))
-        t = out[-1] - 1
-    return out[::-1]
+        kept = total - penalty < best
+        starts_at, paid = starts_at[kept], paid[kept] - best
+    return back
 
 
 def best_starts(distance: np.ndarray, fresh: np.ndarray, points: np.ndarray, penalty: float, level_weight: float = 0.0) -> np.ndarray:
-    """True where a run of the optimal segmentation begins; ``fresh`` marks the first event of each sequence."""
-    out = fresh | (distance > penalty)
+    """True where a run of the optimal segmentation begins; ``fresh`` marks the first event of each sequence.
+
+    Only with the level term, whose candidates are many, are sequences cut at certain boundaries beforehand.
+    """
+    out = fresh | (distance > penalty) if level_weight else fresh.copy()
     begin = np.flatnonzero(out)
     end = np.append(begin[1:], len(out))
     for a, b in zip(begin, end):
@@ -86,8 +109,9 @@ def collapse_runs(
 
     Events are the rows whose order and fields are all neither null nor NaN; rows that repeat another
     in entity, event, order and fields count once; ties in order follow the event id. Runs of fewer
-    than ``min_events`` are left out, inside a block already in the kernel. An empty table gives no
-    rows; other columns are not read.
+    than ``min_events`` are left out, inside a block already in the kernel. Two equal infinite values are
+    no neighbours, as their difference is no number. An empty table gives no rows; other columns are
+    not read.
     """
     names = list(tolerances)
     base = df.where(F.col(entity).isNotNull() & F.col(event).isNotNull() & finite(order, *names)).select(
@@ -104,8 +128,10 @@ def collapse_runs(
         code, block_no, t, ids, values = code[kept], block_no[kept], t[kept], ids[kept], [v[kept] for v in values]
         fresh = starts(code, block_no)
         distance = np.zeros(len(t))
-        for v, limit in zip(values, limits):
-            distance[1:] = np.maximum(distance[1:], np.abs(np.diff(v)) / limit)
+        with np.errstate(invalid="ignore"):
+            for v, limit in zip(values, limits):
+                distance[1:] = np.maximum(distance[1:], np.abs(np.diff(v)) / limit)
+        distance[np.isnan(distance)] = np.inf
         points = np.stack([v / limit for v, limit in zip(values, limits)], axis=1)
         begin = np.flatnonzero(best_starts(distance, fresh, points, penalty, level_weight))
         end = np.append(begin[1:], len(t)) - 1
